@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, langid, line_dedup, mixing, quality_fm, sentencepiece_viterbi, substring_dedup, topk_search, url_filter
+from . import exact_dedup, jaccard_join, langid, line_dedup, mixing, oracle, quality_fm, sentencepiece_viterbi, substring_dedup, topk_search, url_filter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -77,4 +77,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
