@@ -50,7 +50,8 @@ def bm25(docs: DataFrame, query: str, k: int = 10, k1: float = K1, b: float = B)
         return spark.createDataFrame([], "key string, score double, rank long")
     asked.sort()
     terms = document_tokens(docs)
-    tf = [F.size(F.filter("terms", lambda x, t=r["t"]: x == t)).alias(f"tf{i}") for i, r in enumerate(asked)]
+    times = lambda term: F.size(F.filter("terms", lambda x: x == term))
+    tf = [times(r["t"]).alias(f"tf{i}") for i, r in enumerate(asked)]
     counted = terms.select("key", F.size("terms").alias("dl"), *tf)
     corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))])
     score = F.lit(0.0)

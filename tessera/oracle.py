@@ -118,7 +118,7 @@ SQL: dict[str, str] = {
         c as (select count(*)::double as n, avg(dl) as avgdl from l), q as (select qid, t, count(*) as times from (select item_id as qid, unnest({tok('text')}) as t from benchmark) group by qid, t),
         f as (select t, count(*) as df from p group by t),
         s as (select qid, key, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join p using (t) join f using (t) join l using (key), c group by qid, key)
-        select qid, key, round(score, 4) as score from (select *, row_number() over (partition by qid order by score desc, key) as r from s) where r <= 3""",
+        select qid, key, score from (select *, row_number() over (partition by qid order by score desc, key) as r from s) where r <= 3""",
     "fuzzy_trigrams": f"select key, len(g)::bigint as n_trigrams, array_to_string(list_sort(list_transform(g, lambda x: hex(x))), ' ') as trigrams from (select key, {grams(norm('key'))} as g from {SYMBOLS})",
     "fuzzy_candidates": f"select key, round(jaccard, 6) as jaccard from {candidates('blueAnvl')}",
     "fuzzy_search": f"select * from {fuzzy('blueAnvl', 5)}",

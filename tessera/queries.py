@@ -74,7 +74,7 @@ def bm25_params(spark, d):
 @query
 def bm25_batch_search(spark, d):
     asked = T.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return keyword.bm25_batch(keyword.postings(T.documents(spark, d)), asked, 3).withColumn("score", F.round("score", 4)).drop("rank")
+    return keyword.bm25_batch(keyword.postings(T.documents(spark, d)), asked, 3).drop("rank")
 
 
 # ---- symbols
