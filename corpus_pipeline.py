@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, langid, line_dedup, mixing, queries, sentencepiece_viterbi
-from tessera.llm.store import Scratch
+from tessera.sources.scratch import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

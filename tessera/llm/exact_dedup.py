@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch, shuffle_partitions
+from ..sources.scratch import Scratch, shuffle_partitions
 
 #: Characters of a text that the splitters hold; the digest orders texts that agree so far.
 PREFIX_CHARS = 32

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import Scratch, shuffle_partitions
+from ..sources.scratch import Scratch, shuffle_partitions
 
 #: Documents in one packed block of regions, and sets in one block of a product.
 PACK = 2048

@@ -244,7 +244,7 @@ def test_url_filter(spark, small):
 
 
 def test_cascade_is_exact_over_its_universe(spark):
-    from tessera.llm.store import Scratch
+    from tessera.sources.scratch import Scratch
 
     universe = spark.range(20_000).selectExpr("concat('key', id) key")
     listed = spark.range(300).selectExpr("concat('key', id * 31) key")
