@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import fuzzy, graph, state, vector, versions
+from .operators import fuzzy, graph, sessions, state, transactions, vector, versions
 from .plans import planner
 from .sources import log as logs
+from .streaming import watch as watching
 
 FLUSH_ROWS = 50_000
 
@@ -218,6 +219,25 @@ class DB:
     def agent(self, name: str, mode: str = "delta") -> Agent:
         return Agent(self, name, mode)
 
+    def begin(self, isolation: str = "snapshot") -> Transaction:
+        return Transaction(self, isolation)
+
+    def backup(self, path: str) -> None:
+        """Everything written so far, as one table."""
+        self.flush()
+        logs.backup(self._stored(), path)
+
+    def restore_backup(self, path: str) -> None:
+        """Fills an empty database from a backup."""
+        if self._seq:
+            raise RuntimeError("only an empty database can be filled from a backup")
+        logs.append(logs.restore(self.spark, path), self._log_path)
+        self._seq = self._stored().agg(F.max("seq")).first()[0] or 0
+
+    def watch(self, pattern: str, deliver, checkpoint: str, credit: int | None = None, once: bool = False):
+        """Delivers records whose key starts with ``pattern`` as they are flushed."""
+        return watching.start(self.spark, self._log_path, watching.Watch(pattern, credit=credit), deliver, checkpoint, once)
+
     def stats(self) -> dict:
         row = state.statistics(self.log()).first()
         return {"records": row["records"] or 0, "tombstones": row["tombstones"] or 0, "bytes": row["bytes"] or 0, "snapshots": len(self._refs), "graph_edges": self.edges().count(), "index_vectors": self.vectors().count()}
@@ -341,6 +361,126 @@ class Agent:
         return f"Agent({self.name!r})"
 
 
+class ConflictError(RuntimeError):
+    pass
+
+
+class Transaction:
+    """Buffered writes over the state at begin. Isolation: read_committed, snapshot or serializable; all read
+    the begin state, and a serializable commit fails if the value of a key it read has changed since."""
+
+    def __init__(self, db: DB, isolation: str = "snapshot"):
+        self.db, self.isolation = db, isolation
+        self.begin_seq, self.status = db._seq, "active"
+        self._buffer: list[tuple[str, str | None, str]] = []
+        self._read: set[str] = set()
+
+    def _open(self) -> None:
+        if self.status != "active":
+            raise RuntimeError(f"the transaction is {self.status}")
+
+    def get(self, key: str) -> str | None:
+        self._open()
+        for k, value, op in reversed(self._buffer):
+            if k == key:
+                return value if op == "put" else None
+        if self.isolation == "serializable":
+            self._read.add(key)
+        row = state.get(state.live(self.db.log(), self.begin_seq), key).first()
+        return row["value"] if row else None
+
+    def put(self, key: str, value: str) -> None:
+        self._open()
+        self._buffer.append((key, value, "put"))
+
+    def delete(self, key: str) -> None:
+        self._open()
+        self._buffer.append((key, None, "del"))
+
+    def commit(self) -> int:
+        """Applies the buffer in order and returns its length."""
+        self._open()
+        if self._read:
+            log = self.db.log()
+            reads = self.db.spark.createDataFrame([(k,) for k in self._read], "key string")
+            changed = transactions.conflicts(reads, state.live(log, self.begin_seq), state.live(log)).limit(1).collect()
+            if changed:
+                self.status = "aborted"
+                raise ConflictError(f"{changed[0]['key']!r} has changed since the transaction began")
+        self.db._write(self._buffer)
+        self.status = "committed"
+        return len(self._buffer)
+
+    def rollback(self) -> None:
+        self._open()
+        self._buffer, self.status = [], "rolled back"
+
+
+class AgentStore:
+    """Typed records of agent sessions, one Parquet table partitioned by nothing but its files; a deleted
+    session leaves a row of type ``deleted`` that hides what was stored before it."""
+
+    SCHEMA = "session_id string, thread_id string, step long, pos long, type string, id string, content string, stored long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _table(self) -> DataFrame:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        exists = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if exists else self.spark.createDataFrame([], self.SCHEMA)
+
+    def records(self) -> DataFrame:
+        rows = self._table()
+        gone = rows.where("type = 'deleted'").groupBy("session_id").agg(F.max("stored").alias("gone"))
+        kept = rows.where("type <> 'deleted'").join(gone, "session_id", "left")
+        return kept.where("gone is null or stored > gone").drop("gone", "stored")
+
+    def _write(self, rows: list[tuple]) -> None:
+        now = time.time_ns()
+        self.spark.createDataFrame([(*r, now) for r in rows], self.SCHEMA).write.mode("append").parquet(self.path)
+
+    def store_payload(self, session: str, records: list[dict]) -> None:
+        """Records are dicts of type, id, thread_id, step and content. Threads must be named, steps must not fall."""
+        if any(r["session_id"] == session for r in self.list_sessions()):
+            self.delete_payload(session)
+        self._checked(session, records, 0)
+
+    def append_records(self, session: str, records: list[dict]) -> int:
+        last = self.records().where(F.col("session_id") == session).agg(F.max("pos").alias("pos"), F.max("step").alias("step")).first()
+        if last["step"] is not None and records and records[0]["step"] < last["step"]:
+            raise ValueError("steps must not fall")
+        self._checked(session, records, (last["pos"] if last["pos"] is not None else -1) + 1)
+        return len(records)
+
+    def _checked(self, session: str, records: list[dict], first: int) -> None:
+        if any(not r["thread_id"] for r in records) or any(b["step"] < a["step"] for a, b in zip(records, records[1:], strict=False)):
+            raise ValueError("threads must be named and steps must not fall")
+        self._write([(session, r["thread_id"], r["step"], first + i, r["type"], r.get("id"), r.get("content", "")) for i, r in enumerate(records)])
+
+    def load_payload(self, session: str) -> list[dict]:
+        rows = sessions.load(self.records(), session).orderBy("step", "pos").collect()
+        if not rows:
+            raise KeyError(session)
+        return [r.asDict() for r in rows]
+
+    def delete_payload(self, session: str) -> None:
+        self._write([(session, "", 0, 0, "deleted", None, "")])
+
+    def list_sessions(self) -> list[dict]:
+        return [r.asDict() for r in sessions.sessions(self.records()).orderBy("session_id").collect()]
+
+    def get_records_by_type(self, session: str, kind: str) -> list[dict]:
+        return [r.asDict() for r in sessions.by_type(self.records(), session, kind).collect()]
+
+    def get_recent_records(self, session: str, n: int) -> list[dict]:
+        return [r.asDict() for r in sessions.recent(self.records().where(F.col("session_id") == session), n).orderBy("step", "pos").collect()]
+
+    def search_records(self, session: str, text: str, limit: int = 10) -> list[Document]:
+        hits = sessions.search(self.records(), session, text, limit).orderBy("rank").collect()
+        return [Document(r["key"], "", r["score"]) for r in hits]
+
+
 class Workspace:
     """Records of one namespace of a database."""
 
@@ -372,6 +512,8 @@ class Workspace:
     def commit(self) -> None:
         self.db.flush()
 
+    merge_to_main = commit
+
     def __contains__(self, key: str) -> bool:
         return self.get(key) is not None
 

@@ -8,9 +8,10 @@ from collections import Counter, deque
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.api import DB, Client
+from tessera.api import DB, AgentStore, Client, ConflictError
 from tessera.functions import hashing, text
 from tessera.operators import fuzzy, graph, keyword, namespaces, sessions, state, transactions, validation, vector, versions
+from tessera.operators.levels import Levels
 from tessera.plans import planner
 from tessera.sources import log as logs
 from tessera.streaming import watch
@@ -302,6 +303,61 @@ def test_database(spark, tmp_path):
         assert client.branches() == [] and client.agent("n").get("w/k") == "v" and client.branches() == ["n"]
 
 
+def test_levels(spark, tmp_path):
+    levels = Levels(spark, f"file://{tmp_path}/runs", level_1_bytes=1 << 30)
+    schema = "key string, value string, op string, seq long"
+    for i in range(5):
+        levels.add(frame(spark, [("same", f"v{i}", "put", 10 * i), (f"own{i}", "x", "put", 10 * i + 1)], schema))
+    assert len(levels.folders(0)) == 1 and len(levels.folders(1)) == 1
+    levels.add(frame(spark, [("own0", None, "del", 99)], schema))
+    assert {r.key: r.value for r in levels.state().collect()} == {"same": "v4", **{f"own{i}": "x" for i in range(1, 5)}}
+    levels.merge(force=True)
+    assert levels.folders(0) == levels.folders(1) == [] and levels.log().count() == 5
+    path = f"file://{tmp_path}/log"
+    frame(spark, [("new", "1", "put", 200)], schema).write.parquet(path)
+    levels.start(spark.readStream.schema(schema).parquet(path), f"file://{tmp_path}/cp", once=True).awaitTermination()
+    assert levels.state().where("key = 'new'").count() == 1
+
+
+def test_transactions_of_the_database(spark, tmp_path):
+    db = DB(spark, f"file://{tmp_path}/db")
+    db.put("alice", "1000")
+    a, b = db.begin("serializable"), db.begin("serializable")
+    assert a.get("alice") == b.get("alice") == "1000"
+    a.put("alice", "500")
+    assert a.get("alice") == "500" and db.get("alice") == "1000" and a.commit() == 1 and a.status == "committed"
+    b.put("bob", "1")
+    with pytest.raises(ConflictError):
+        b.commit()
+    c = db.begin()
+    c.delete("alice")
+    assert c.get("alice") is None
+    c.rollback()
+    assert db.get("alice") == "500"
+    db.backup(f"file://{tmp_path}/backup")
+    other = DB(spark, f"file://{tmp_path}/other")
+    other.restore_backup(f"file://{tmp_path}/backup")
+    assert other.get("alice") == "500"
+
+
+def test_agent_store(spark, tmp_path):
+    store = AgentStore(spark, f"file://{tmp_path}/sessions")
+    make = lambda steps, kind="Msg": [{"type": kind, "id": f"r{s}", "thread_id": "t", "step": s, "content": f"text {s}"} for s in steps]
+    store.store_payload("s1", make(range(1, 8)))
+    store.store_payload("s10", make([1]))
+    assert store.append_records("s1", make([7, 8], "Tool")) == 2
+    assert [r["step"] for r in store.load_payload("s1")] == [*range(1, 8), 7, 8]
+    assert [r["step"] for r in store.get_recent_records("s1", 3)] == [7, 7, 8] and len(store.get_records_by_type("s1", "Tool")) == 2
+    assert store.search_records("s1", "8", 1)[0].id == "s1:8:Tool"
+    for bad in (make([5, 3]), [{"type": "Msg", "thread_id": "", "step": 1}]):
+        with pytest.raises(ValueError):
+            store.store_payload("bad", bad)
+    store.delete_payload("s1")
+    assert [r["session_id"] for r in store.list_sessions()] == ["s10"]
+    with pytest.raises(KeyError):
+        store.load_payload("s1")
+
+
 def test_every_query_has_sql():
     import __spark_entry__ as entry
     from tessera import queries
