@@ -18,7 +18,7 @@ RUN = 3
 
 
 def _marked(docs: DataFrame, run: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(doc_id, mark, drop): the numbers of the lines to delete, by identifier and hash of the text."""
+    """(doc_id, mark, n, flags): how many lines to delete and which, by identifier and hash of the text."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("lines", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)))
     rows = rows.where(F.size("lines") >= run).select("doc_id", "mark", "lines")
@@ -42,8 +42,12 @@ def _marked(docs: DataFrame, run: int, id_col: str, text_col: str, scratch: Scra
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
     later = later.where(~here | (F.col("start") - F.col("first.start") >= run))
     drop = later.groupBy("doc_id", "mark").agg(F.collect_set("start").alias("starts"))
-    lines = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1)))))
-    return scratch.table(drop.select("doc_id", "mark", lines.alias("drop")), "drop")
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1)))))
+    rest = F.array_except(F.sequence(F.lit(0), F.array_max(gone)), gone)
+    # a flag for each line up to the last deleted, so that a text is filtered in one pass however long it is
+    flag = lambda lines, value: F.transform(lines, lambda i: F.struct(i.alias("i"), F.lit(value).alias("gone")))
+    flags = F.transform(F.array_sort(F.concat(flag(rest, False), flag(gone, True))), lambda s: s["gone"])
+    return scratch.table(drop.select("doc_id", "mark", F.size(gone).alias("n"), flags.alias("flags")), "drop")
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -57,16 +61,15 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
     An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    drop = _marked(docs, run, id_col, text_col, scratch).select(F.col("doc_id").alias("_drop_id"), F.col("mark").alias("_drop_mark"), F.col("drop").alias("_drop_lines"))
+    drop = _marked(docs, run, id_col, text_col, scratch).select(F.col("doc_id").alias("_drop_id"), F.col("mark").alias("_drop_mark"), F.col("n").alias("_drop_n"), F.col("flags").alias("_drop_flags"))
     scratch.drop("extended", "first")
     wide = docs.withColumn("_line_mark", F.xxhash64(docs[text_col].cast("string")))
     joined = wide.join(drop, F.expr(f"`{id_col}` <=> _drop_id and _line_mark = _drop_mark"), "left")
-    gone = F.col("_drop_lines")
+    gone = F.col("_drop_n")
     lines = F.split(F.col(f"`{text_col}`"), "\n")
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(gone, s["i"]))
-    kept = F.array_join(F.transform(numbered, lambda s: s["x"]), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get("_drop_flags", i), F.lit(False))), "\n")
     text = F.when(gone.isNull(), F.col(f"`{text_col}`")).otherwise(kept)
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if count_col:
-        out.append(F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(count_col))
+        out.append(F.coalesce(gone, F.lit(0)).cast("long").alias(count_col))
     return joined.select(*out)

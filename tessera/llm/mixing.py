@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 #: Up to so many sources, the table of rates (about 60 bytes a source) goes to every executor.
 BROADCAST_SOURCES = 10_000
 
@@ -54,6 +56,7 @@ def unit_hash(value: Column, seed: int) -> Column:
 def _with_copies(docs: DataFrame, id_col, text_col, source_col, budget, cap, weights, seed, keep: list[str]) -> DataFrame:
     sized = docs.select(*[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(keep)], docs[id_col].alias("_id"), docs[source_col].cast("string").alias("_source"), count_words(docs[text_col]).alias("_size"))
     totals = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
+    totals = Scratch(docs.sparkSession, "mixing").table(totals, "totals")  # a row for each source, read three times
     targets = source_targets(totals, budget, cap, weights).withColumnsRenamed({"source": "_s", "source_size": "_source_size", "target": "_target"})
     if totals.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
