@@ -50,9 +50,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, the identifiers of the text's pieces and their number, and whether they decode to the text."""
     model = sentencepiece_viterbi.Model.read(queries.piece_model_path())
-    ids = docs.select("doc_id", "source", "lang", "text", sentencepiece_viterbi.encode(F.col("text"), model).alias("piece_ids"))
-    back = sentencepiece_viterbi.decode(F.col("piece_ids"), model)
-    return ids.select("doc_id", "source", "lang", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), back.eqNullSafe(F.col("text")).alias("round_trip"))
+    pieces = docs.select("doc_id", "source", "lang", "text", sentencepiece_viterbi.encode_and_decode(F.col("text"), model).alias("p"))
+    pieces = pieces.select("doc_id", "source", "lang", "text", F.col("p.ids").alias("piece_ids"), F.col("p.decoded").alias("decoded"))
+    return pieces.select("doc_id", "source", "lang", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), F.expr("decoded <=> text").alias("round_trip"))
 
 
 STAGES = [

@@ -66,8 +66,8 @@ def op9_mixing(spark, sf_dir):
 
 def op10_sentencepiece(spark, sf_dir):
     model = sentencepiece_viterbi.Model.read(piece_model_path())
-    ids = _table(spark, sf_dir, "documents").select("doc_id", "text", sentencepiece_viterbi.encode(F.col("text"), model).alias("ids"))
-    back = ids.withColumn("decoded", sentencepiece_viterbi.decode(F.col("ids"), model))
+    pieces = _table(spark, sf_dir, "documents").select("doc_id", "text", sentencepiece_viterbi.encode_and_decode(F.col("text"), model).alias("p"))
+    back = pieces.select("doc_id", "text", F.col("p.ids").alias("ids"), F.col("p.decoded").alias("decoded"))
     return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"), F.expr("decoded <=> text").alias("round_trip"))
 
 

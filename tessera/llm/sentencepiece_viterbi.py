@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with a batched Viterbi search in numpy.
 
 A text is cut where no piece of the vocabulary can lie across: before a run of spaces that follows
-something else. The distinct words of a batch are grouped by length, and words of equal length advance
+something else, and around line ends and tabs if no piece has them. The distinct words of a batch are grouped by length, and words of equal length advance
 together: for each end position and each piece length, hashes of the substrings probe the sorted hashes
 of the pieces, and a vectorised maximum over the lengths stores a backpointer.
 
@@ -28,7 +28,7 @@ from .words import mix, powers
 
 SPACE = "▁"
 #: Distinct words whose pieces a task remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words of more characters are too few to advance together and go one by one.
 LONG = 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -170,6 +170,10 @@ class Model:
         self.longest = max((len(self.pieces[i]) for i in usable), default=1)
         n = len(self.pieces)
         self.number = {self.pieces[i]: int(i) for i in usable}
+        apart = "".join(c for c in "\t\n\r\x0b\x0c" if not any(c in self.pieces[i] for i in usable))
+        self.parts = re.compile(f"[{apart}]| +[^ {apart}]*|[^ {apart}]+" if apart else " +[^ ]*|[^ ]+")
+        table = [p.replace(SPACE, " ").encode() if t == NORMAL else bytes([int(p[1:-1], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" for p, t in zip(self.pieces, self.types, strict=True)]
+        self.byte_counts, self.piece_bytes = np.fromiter(map(len, table), np.int64, len(table)), np.frombuffer(b"".join(table), np.uint8)
         self.bytes_at = np.full(256, self.unknown)
         for i in np.flatnonzero(self.types == BYTE):
             self.bytes_at[int(self.pieces[i][1:-1], 16)] = i
@@ -350,13 +354,14 @@ class Model:
         return flat.astype(np.int32), count
 
     def words(self, text: str) -> list[str]:
+        """Parts of a text that no piece lies across, with spaces as they are."""
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
         if self.collapse_spaces:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return []
-        if self.dummy_prefix:
-            text = " " + text
-        return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text.replace(" ", SPACE))
+        return self.parts.findall(" " + text if self.dummy_prefix else text)
 
     def encode(self, texts: pa.Array, memory: Memory) -> pa.Array:
         """Identifiers of each text; null stays null. ``memory`` keeps the words met."""
@@ -370,10 +375,9 @@ class Model:
 
     def decode(self, lists: pa.Array) -> pa.Array:
         """Texts of lists of identifiers; null stays null. Bytes that are no UTF-8 become U+FFFD."""
-        table = [p.replace(SPACE, " ").encode() if t == NORMAL else bytes([int(p[1:-1], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" for p, t in zip(self.pieces, self.types, strict=True)]
-        count = np.fromiter(map(len, table), np.int64, len(table))
-        ids = np.asarray(lists.flatten()).astype(np.int64)
-        data = _gather(np.frombuffer(b"".join(table), np.uint8), count, ids).tobytes()
+        ids = np.asarray(lists.flatten())
+        count = self.byte_counts
+        data = _gather(self.piece_bytes, count, ids).tobytes()
         sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(count[ids])])[np.concatenate([[0], np.cumsum(sizes)])]
         out = []
@@ -383,22 +387,27 @@ class Model:
         return pa.array(out, pa.string())
 
 
-class Memory:
-    """Identifiers of the words met so far; forgets all once there are too many."""
+class Memory(dict):
+    """Places of the words met so far, and their identifiers; forgets all once there are too many."""
 
     def __init__(self):
-        self.place: dict[str, int] = {}
+        self.new: list[str] = []
         self.flat, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
+    def __missing__(self, word: str) -> int:
+        self.new.append(word.replace(" ", SPACE))
+        place = self[word] = len(self)
+        return place
+
     def places(self, words: list[str], model: Model) -> np.ndarray:
-        if len(self.place) > REMEMBERED:
+        if len(self) > REMEMBERED:
+            self.clear()
             self.__init__()
-        new = list(set(words) - self.place.keys())
-        if new:
-            flat, count = model.encode_words(new)
-            self.place.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
-            self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            flat, count = model.encode_words(self.new)
+            self.flat, self.count, self.new = np.concatenate([self.flat, flat]), np.concatenate([self.count, count]), []
+        return at
 
 
 def _gather(flat: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -426,7 +435,7 @@ def hash_piece(piece: str) -> np.uint64:
     return _sized(sums[-1], len(piece))[0]
 
 
-def _chunks(column: pa.Array, rows: int = 2048):
+def _chunks(column: pa.Array, rows: int = 512):
     for lo in range(0, max(1, len(column)), rows):
         yield column.slice(lo, rows)
 
@@ -438,7 +447,8 @@ def encode(text: Column, model: Model) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = Memory()
         for texts in batches:
-            yield pa.concat_arrays([model.encode(part, memory) for part in _chunks(texts)])
+            for part in _chunks(texts):
+                yield model.encode(part, memory)
 
     return run(text)
 
@@ -447,7 +457,23 @@ def decode(ids: Column, model: Model) -> Column:
     """The text of identifiers; null stays null."""
 
     @arrow_udf("string")
-    def run(lists: pa.Array) -> pa.Array:
-        return pa.concat_arrays([model.decode(part) for part in _chunks(lists)])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            for part in _chunks(lists):
+                yield model.decode(part)
 
     return run(ids)
+
+
+def encode_and_decode(text: Column, model: Model) -> Column:
+    """A struct of ``ids`` and of ``decoded``, the text that they decode to, in one pass through Python."""
+
+    @arrow_udf("struct<ids array<int>, decoded string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = Memory()
+        for texts in batches:
+            for part in _chunks(texts):
+                ids = model.encode(part, memory)
+                yield pa.StructArray.from_arrays([ids, model.decode(ids)], ["ids", "decoded"])
+
+    return run(text)
