@@ -69,9 +69,11 @@ def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int
 
 
 def train_cells(vectors: DataFrame, cells: int = 16, sample: int = 10_000, rounds: int = 10, seed: int = 1) -> np.ndarray:
-    """Centres of k-means on a bounded sample: the ``sample`` rows with the smallest key hashes."""
-    rows = normalise(vectors).orderBy(F.xxhash64("key")).limit(sample).select("vector").collect()
-    data = np.array([r["vector"] for r in rows])
+    """Centres of k-means on a bounded sample: the ``sample`` rows with the smallest key hashes. They have the
+    sample's most frequent dimension; vectors of another take no part."""
+    rows = [r["vector"] for r in normalise(vectors).orderBy(F.xxhash64("key")).limit(sample).select("vector").collect()]
+    sizes = [len(v) for v in rows]
+    data = np.array([v for v in rows if len(v) == max(set(sizes), key=sizes.count)])
     rng = np.random.default_rng(seed)
     centres = data[rng.permutation(len(data))[:cells]]
     for _ in range(rounds):
@@ -82,7 +84,7 @@ def train_cells(vectors: DataFrame, cells: int = 16, sample: int = 10_000, round
 
 
 def assign_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Every vector with its cell; written partitioned by cell, it is the index."""
+    """Every vector of the centres' dimension with its cell; written partitioned by cell, it is the index."""
 
     def run(batches):
         for b in batches:
@@ -90,7 +92,7 @@ def assign_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
             cell = (m @ centres.T).argmax(1) if len(m) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([b["key"], b["vector"], pa.array(cell, pa.int32())], ["key", "vector", "cell"])
 
-    return normalise(vectors).mapInArrow(run, "key string, vector array<double>, cell int")
+    return normalise(vectors.where(F.size("vector") == centres.shape[1])).mapInArrow(run, "key string, vector array<double>, cell int")
 
 
 def ann_batch(index: DataFrame, centres: np.ndarray, queries: list[tuple[int, list[float]]], k: int = 10, ef: int = 8) -> DataFrame:
