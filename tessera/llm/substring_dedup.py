@@ -3,11 +3,14 @@
 A window is a run of ``window`` words, so a repeated window is a node of the suffix tree of all texts at
 that depth with two leaves or more. Suffixes are split by prefixes of growing length. Each window has an
 anchor: of its runs of ``gram`` words the one with the smallest hash, so equal windows have equal anchors
-at equal places and only suffixes that begin at anchors (about one in fourteen) need to be grouped. The
-first prefix is the anchor's run: where it occurs once, no window of that anchor repeats and the branch
-is cut. The windows on the remaining branches are told apart by their full length, the leaves below each
-node are counted with partial sums, and nodes with more than one leaf are the repeats. No group of
-suffixes is gathered in a task, however frequent its prefix.
+at equal places and only suffixes that begin at anchors (about one in fourteen) need to be grouped.
+
+1. The first prefix is the anchor's run: where it occurs once, no window of that anchor repeats.
+2. The next is the anchor's whole span, the words of all its windows. A node whose suffixes all have a span
+   that occurs again is deep enough to be done: all its windows repeat.
+3. Below the other nodes windows are told apart by their full length.
+
+Leaves are counted with partial sums; no group of suffixes is gathered in a task, however frequent its prefix.
 """
 
 from __future__ import annotations
@@ -40,25 +43,24 @@ def smallest_at(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _rows(texts: pa.Array, window: int, gram: int):
-    """Yields for each text the hashes of its words' runs, and each window's anchor."""
+    """Yields for each text the hashes of its anchors' runs and their places."""
     space, values = W.is_space(), W.byte_values(False)
     for _, _, data, offsets in W.chunks(texts):
         starts, ends, first = W.split(data, offsets, space)
         words = W.hash_words(data, starts, ends, values)
-        runs, whole = W.hash_runs(words, gram), W.hash_runs(words, window)
+        runs = W.hash_runs(words, gram)
         anchors = smallest_at(runs, window - gram + 1)
         for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            n = max(0, hi - lo - window + 1)
-            yield runs[lo : lo + n + window - gram] if n else runs[:0], whole[lo : lo + n], anchors[lo : lo + n] - lo
+            at = np.unique(anchors[lo : max(lo, hi - window + 1)])
+            yield runs[at], at - lo
 
 
 def _anchors(window: int, gram: int):
     def run(batches):
         for batch in batches:
             keys, rows, places = [], [], []
-            for i, (runs, _, anchors) in enumerate(_rows(batch["text"], window, gram)):
-                at = np.unique(anchors)
-                keys.append(runs[at])
+            for i, (found, at) in enumerate(_rows(batch["text"], window, gram)):
+                keys.append(found)
                 rows.append(np.full(len(at), i))
                 places.append(at)
             row = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
@@ -68,30 +70,47 @@ def _anchors(window: int, gram: int):
     return run
 
 
-def _windows(window: int, gram: int):
+def _owned(part: pa.RecordBatch, window: int, gram: int):
+    """Yields, chunk by chunk, columns of the wanted anchors: row, hash, first window and number of windows,
+    a hash of their words together, and the windows' own hashes one after another."""
+    space, values = W.is_space(), W.byte_values(False)
+    i = 0
+    for _, _, data, offsets in W.chunks(part["text"]):
+        starts, ends, bounds = W.split(data, offsets, space)
+        words = W.hash_words(data, starts, ends, values)
+        runs, whole = W.hash_runs(words, gram), W.hash_runs(words, window)
+        anchors = smallest_at(runs, window - gram + 1)
+        found = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            at, first, n = np.unique(anchors[a : max(a, b - window + 1)], return_index=True, return_counts=True)
+            keep = np.isin(at - a, np.asarray(part["places"][i].values))
+            found.append((np.full(keep.sum(), i), at[keep], first[keep], n[keep], np.full(keep.sum(), a)))
+            i += 1
+        row, at, first, n, base = (np.concatenate(c) for c in zip(*found, strict=True))
+        begin = base + first
+        own = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield row, runs[at], first, n, W.hash_spans(words, begin, begin + n - 1 + window), whole[own]
+
+
+def _spans(window: int, gram: int):
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                keys, rows, places, wide = [], [], [], []
-                for i, ((runs, whole, anchors), wanted) in enumerate(zip(_rows(part["text"], window, gram), part["places"], strict=True)):
-                    at = np.flatnonzero(np.isin(anchors, np.asarray(wanted.values)))
-                    places.append(at)
-                    keys.append(whole[at])
-                    wide.append(runs[anchors[at]])
-                    rows.append(np.full(len(at), i))
-                row = pa.array(np.concatenate(rows))
-                # the anchor's hash beside the window's makes up 128 bits
-                out = [part["doc_id"].take(row), part["mark"].take(row), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(keys).astype(np.int64)), pa.array((np.concatenate(wide) >> np.uint64(32)).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "mark", "place", "key", "more"])
+                row, key, first, n, span, keys = (np.concatenate(c) for c in zip(*_owned(part, window, gram), strict=True))
+                at = pa.array(row, pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(keys.astype(np.int64)))
+                out = [part["doc_id"].take(at), part["mark"].take(at), pa.array(key.astype(np.int64)), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(span.astype(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "mark", "key", "first", "n", "span", "keys"])
 
     return run
 
 
-def covered(n: int, places: np.ndarray, window: int) -> np.ndarray:
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, places, 1)
-    np.add.at(change, places + window, -1)
+def covered(words: int, first: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """Which of so many words lie in n windows from ``first`` on."""
+    change = np.zeros(words + 1, np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, first + n - 1 + window, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -100,15 +119,16 @@ def _keep(window: int):
         space = W.is_space()
         for batch in batches:
             texts, counts, removed = [], [], []
-            wanted = iter(batch["places"])
+            wanted = iter(batch["found"])
             for _, _, data, offsets in W.chunks(batch["text"]):
                 starts, ends, first = W.split(data, offsets, space)
                 raw = data.tobytes()
                 for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    places = next(wanted)
+                    found = next(wanted)
                     kept = np.arange(lo, hi)
-                    if places.is_valid and len(places.values):
-                        kept = kept[~covered(hi - lo, np.unique(np.asarray(places.values)), window)]
+                    if found.is_valid and len(found.values):
+                        first, n = (np.asarray(found.values.field(c)) for c in ("first", "n"))
+                        kept = kept[~covered(hi - lo, first, n, window)]
                     counts.append(hi - lo)
                     removed.append(hi - lo - len(kept))
                     texts.append(b" ".join([raw[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)]).decode())
@@ -138,12 +158,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     scratch.drop("anchors", "keys")
     same = F.expr("r.mark = b.mark and r.doc_id <=> b.doc_id")
     wanted = rows.alias("r").join(branches.alias("b"), same).select("r.doc_id", "r.mark", "r.text", "b.places")
-    windows = scratch.table(wanted.mapInArrow(_windows(window, gram), "doc_id long, mark long, place int, key long, more int"), "windows", "none")
+    spans = scratch.table(wanted.mapInArrow(_spans(window, gram), "doc_id long, mark long, key long, first int, n int, span long, keys array<long>"), "spans", "none")
     scratch.drop("branches")
-    nodes = scratch.table(windows.groupBy("key", "more").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "more"), "nodes")
+    leaves = spans.groupBy("key", "span").agg(F.count(F.lit(1)).alias("times"))
+    nodes = scratch.table(leaves.groupBy("key").agg((F.min("times") > 1).alias("done")), "nodes")
+    done = spans.join(nodes.where("done"), "key").select("doc_id", "mark", "first", "n")
+    open_ = spans.join(nodes.where("not done"), "key").select("doc_id", "mark", "key", F.posexplode("keys").alias("i", "whole"), "first")
+    windows = scratch.table(open_.select("doc_id", "mark", "key", "whole", (F.col("first") + F.col("i")).alias("first")), "windows", "none")
+    deep = windows.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key", "whole")
+    deep = scratch.table(deep, "deep")
     scratch.free()
-    repeats = windows.join(nodes, ["key", "more"]).groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
+    again = windows.join(deep, ["key", "whole"]).select("doc_id", "mark", "first", F.lit(1).alias("n"))
+    repeats = done.unionByName(again).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("found"))
     repeats = scratch.table(repeats, "repeats")
-    scratch.drop("windows", "nodes")
-    marked = rows.alias("r").join(repeats.alias("b"), same, "left").select("r.doc_id", "r.text", "b.places")
+    scratch.drop("spans", "nodes", "windows", "deep")
+    marked = rows.alias("r").join(repeats.alias("b"), same, "left").select("r.doc_id", "r.text", "b.found")
     return marked.mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, text string")

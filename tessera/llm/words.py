@@ -108,6 +108,12 @@ def hash_runs(words: np.ndarray, k: int) -> np.ndarray:
             odd = (odd * 0x9FB21C651E98DF25 + 2 * k) % (1 << 64)
             total += words[i : i + n] * np.uint64(odd)
         return mix(total)
+    return hash_spans(words, np.arange(n), np.arange(k, k + n))
+
+
+def hash_spans(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words from each ``begin`` up to ``end``, from prefix sums modulo 2^64."""
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * powers(_BASE, len(words)), out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * powers(_BASE_INVERSE, n))
+    h = (sums[end] - sums[begin]) * powers(_BASE_INVERSE, len(words) + 1)[begin]
+    return mix(h + (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
