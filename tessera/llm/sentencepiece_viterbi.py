@@ -28,7 +28,7 @@ from .words import mix, powers
 
 SPACE = "▁"
 #: Distinct words whose pieces a task remembers between batches.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 #: Words of more characters are too few to advance together and go one by one.
 LONG = 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -101,7 +101,8 @@ class Probe:
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         self.some = counts > 0
         self.most = int(counts.max(initial=0))
-        self.keys, self.values = np.append(self.keys, np.zeros(self.most, np.uint64)), np.append(self.values, np.full(self.most, -1))
+        # a search may look past the end: the last key stands there again
+        self.keys, self.values = np.append(self.keys, self.keys[-1:].repeat(self.most)), np.append(self.values, self.values[-1:].repeat(self.most))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``h`` of keys that are held, and their values."""
@@ -111,7 +112,7 @@ class Probe:
         start = self.first[top]
         at = np.full(len(rows), -1)
         for i in range(self.most):
-            at = np.where((self.keys[start + i] == h) & (start + i < self.first[top + 1]), start + i, at)
+            at = np.where(self.keys[start + i] == h, start + i, at)
         hit = at >= 0
         return rows[hit], self.values[at[hit]]
 
