@@ -40,9 +40,10 @@ def source_targets(sizes: DataFrame, budget: float, cap: float, weights: list[fl
         F.sum("weight").over(after).alias("rest"),
     )
     # the first source that its share does not fill sets the level; all after it have more room
-    fits = F.col("weight") * F.col("left") / F.col("rest") <= F.col("full")
-    s = s.withColumn("open", F.max(fits.cast("int")).over(fill.rowsBetween(Window.unboundedPreceding, 0)))
-    s = s.withColumn("left", F.first(F.when(fits, F.col("left")), True).over(every)).withColumn("rest", F.first(F.when(fits, F.col("rest")), True).over(every))
+    s = s.withColumn("fits", F.col("weight") * F.col("left") / F.col("rest") <= F.col("full"))
+    level = F.first(F.when(F.col("fits"), F.struct("left", "rest")), True).over(every)
+    s = s.withColumn("open", F.max(F.col("fits").cast("int")).over(fill.rowsBetween(Window.unboundedPreceding, 0))).withColumn("level", level)
+    s = s.withColumn("left", F.col("level.left")).withColumn("rest", F.col("level.rest"))
     share = F.when(F.col("open") == 1, F.least("full", F.col("weight") * F.col("left") / F.col("rest"))).otherwise(F.col("full"))
     return s.select("source", "source_size", share.cast("double").alias("target"))
 

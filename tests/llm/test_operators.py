@@ -223,8 +223,11 @@ def test_mixing(docs, rows, empty, spark):
 def test_mixing_comes_near_its_targets(spark, small):
     sf = small.replace("0.001", "0.01")
     found = queries.op9_mixing(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), "doc_id")
+    sizes = {r.source: r.n for r in found.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    targets = brute_targets(sizes)
+    assert sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
     for r in found.groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("n")).collect():
-        assert abs(r.n / r.t - 1) < 0.35
+        assert r.t == pytest.approx(targets[r.source], rel=1e-12) and abs(r.n / r.t - 1) < 0.35
 
 
 def brute_rule(url):
