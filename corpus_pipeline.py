@@ -16,8 +16,9 @@ from tessera.sources.scratch import Scratch
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns profiles from the labels of ``docs`` and rejects texts of no language: null, or without a letter."""
-    found = langid.predict(docs["text"], langid.learn_profiles(docs))
-    if not docs.where("lang is not null").take(1):
+    profiles = langid.learn_profiles(docs)
+    found = langid.predict(docs["text"], profiles)
+    if not profiles.languages:
         found = F.struct(F.when(F.col("text").rlike(r"\p{L}"), F.lit("")).otherwise(langid.UNDETERMINED).alias("lang_pred"))
     return docs.withColumn("_found", found).where(F.col("_found.lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 

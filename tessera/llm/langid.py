@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 PROFILE = 400
-#: Expected number of rows that profiles are learned from; rows are chosen by a hash of the text.
-TRAIN_ROWS = 20_000
+#: Characters of which n-grams are counted at a time.
+CHUNK = 1 << 20
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -76,20 +76,19 @@ def _count_grams(batches):
                 texts.setdefault(lang, []).append(s)
         for lang, found in texts.items():
             totals: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            for i in range(0, len(found), 64):
-                k, n = np.unique(np.concatenate([ngrams(s) for s in found[i : i + 64]]), return_counts=True)
+            place = np.cumsum([len(s) for s in found]) // CHUNK
+            cuts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(found))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                k, n = np.unique(np.concatenate([ngrams(s) for s in found[lo:hi]]), return_counts=True)
                 k = np.concatenate([totals[0], k])
                 u, inverse = np.unique(k, return_inverse=True)
                 totals = u, np.bincount(inverse, np.concatenate([totals[1], n])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(totals[0]), pa.string()), pa.array(totals[0]), pa.array(totals[1])], ["lang", "gram", "n"])
 
 
-def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, train_rows: int = TRAIN_ROWS) -> Profiles:
-    """Profiles of the labelled rows of ``docs``: all of them, or about ``train_rows`` if there are more."""
+def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> Profiles:
+    """Profiles of all labelled rows of ``docs``; a language without a letter in any of them has none."""
     rows = docs.select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).where("lang is not null and text is not null")
-    total = rows.count()
-    if total > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(train_rows / total * (1 << 30)))
     counts = rows.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.col("n").desc(), F.col("gram")]
     # the first of each part of a language's grams, then the first of those
@@ -119,7 +118,7 @@ def predict(text: Column, profiles: Profiles) -> Column:
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
-    Profiles are learned from rows that ``held_out`` does not mark and that have text and label. If
+    Profiles are learned from all rows that ``held_out`` does not mark and that have text and label. If
     there are none, or a text is null or has no letter, the answer is ``und`` with score 0. The score
     is one less the distance over the greatest possible. Ties go to the first language by name.
     Repeated rows are judged one by one; other columns are ignored; an empty table gives an empty result.

@@ -289,6 +289,13 @@ def test_language_id(docs, rows, empty, spark, small):
     assert sum(r.lang == r.lang_pred for r in told) >= 0.97 * len(told)
 
 
+def test_language_id_learns_a_rare_language_of_copies(spark):
+    many = spark.range(40_000).select(F.concat(F.lit("the house and the garden "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    for text in ("zwölf böse füchse", "über größe und öl", "süße äpfel für jörg", "schöne grüße"):
+        rare = spark.createDataFrame([(text, "de")] * 5, "text string, lang string")
+        assert langid.learn_profiles(many.unionByName(rare)).languages == ["de", "en"]
+
+
 def test_quality(docs, rows, empty, spark, small):
     labels = spark.createDataFrame([(r[0], int((r[0] or 0) % 2), 0) for r in rows[:80]] + [(None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
     found = quality_fm.classify(docs, labels, F.lit(False)).collect()

@@ -32,6 +32,11 @@ def test_language_stage_rejects_only_texts_without_letters(spark, docs, rows, em
     assert P.language_id(spark, empty, "").collect() == []
 
 
+def test_language_stage_without_a_usable_label(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "a", 10), (2, "123", "en", "a", 3), (3, None, "en", "a", None)], COLUMNS)
+    assert [r.doc_id for r in P.language_id(spark, docs, "").collect()] == [1]
+
+
 def test_line_stage(spark, docs, rows, empty):
     found = P.line_deduplication(spark, docs, "")
     assert found.columns == docs.columns
