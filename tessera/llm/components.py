@@ -12,7 +12,7 @@ MAX_ROUNDS = 60
 SALT = 16
 
 
-def _salted(links: DataFrame, least: DataFrame) -> DataFrame:
+def salted(links: DataFrame, least: DataFrame) -> DataFrame:
     """Joins each link to the row of its ``a``; the links of a hub are spread over tasks."""
     parts = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int")).join(parts, ["a", "salt"])
@@ -29,10 +29,10 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         # large star: larger neighbours of a node go to its smallest neighbour or itself
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = _salted(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: smaller neighbours of a node, and itself, go to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = _salted(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = salted(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = scratch.table(small.where("a <> b").distinct(), f"{name}-{turn}")
         mark = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         scratch.drop(f"{name}-{turn - 1}")

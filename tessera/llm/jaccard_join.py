@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .components import components
+from .components import components, salted
 from ..sources.scratch import Scratch, shuffle_partitions
 
 #: Documents in one packed block of regions, and sets in one block of a product.
@@ -190,7 +190,7 @@ def _sets(k: int):
         for batch in batches:
             found = list(shingles(batch["text"], k))
             keep = [i for i, (f, a, b) in enumerate(zip(found, batch["p1"].to_pylist(), batch["p2"].to_pylist(), strict=True)) if fingerprint(f) == (a, b)]
-            yield pa.RecordBatch.from_arrays([batch["family"].take(pa.array(keep, pa.int64())), batch["blocks"].take(pa.array(keep, pa.int64())), batch["doc_id"].take(pa.array(keep, pa.int64())), batch["copies"].take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["family", "blocks", "doc_id", "copies", "grams"])
+            yield pa.RecordBatch.from_arrays([batch["family"].take(pa.array(keep, pa.int64())), batch["blocks"].take(pa.array(keep, pa.int64())), batch["node"].take(pa.array(keep, pa.int64())), batch["copies"].take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["family", "blocks", "node", "copies", "grams"])
 
     return run
 
@@ -223,8 +223,8 @@ def _link(bounds: Bounds):
     """Rows of a task come by (family, i, j); each pair of blocks gives links and counts."""
 
     def solve(rows):
-        rows = list({r["doc_id"]: r for r in rows}.values())  # an identifier may repeat
-        ids = np.array([r["doc_id"] for r in rows])
+        rows = list({r["node"]: r for r in rows}.values())  # rows may repeat
+        ids = np.array([r["node"] for r in rows])
         copies = np.array([r["copies"] for r in rows])
         sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
         block = np.array([int(r["block"] != r["i"]) for r in rows])
@@ -280,32 +280,38 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     scratch.drop("replies")
 
     # tables of aggregates, so that a join deals both sides out and Spark can split a hot key
-    first = scratch.table(survivors.groupBy("p1", "p2").agg(F.min("doc_id").alias("rep")), "first")
-    classes = survivors.join(first, ["p1", "p2"]).where("doc_id = rep").select("rep", "p1", "p2", "grams").dropDuplicates(["rep", "p1", "p2"])
-    postings = scratch.table(classes.select("rep", F.explode("grams").alias("gram")), "postings")
+    groups = members.where("doc_id is not null and n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    groups = scratch.table(groups, "classes")
+    # a class of equal sets is the node of its identifier, or of p1 where other classes have that identifier too
+    twice = scratch.table(groups.groupBy("class_id").count().where("count > 1").select("class_id", F.lit(True).alias("twice")), "twice")
+    groups = groups.join(twice, "class_id", "left").select("p1", "p2", "class_id", "copies", F.when(F.col("twice"), F.col("p1")).otherwise(F.col("class_id")).alias("node"))
+    groups = scratch.table(groups, "groups")
+    classes = survivors.join(groups, ["p1", "p2"]).where("doc_id = class_id").select("p1", "p2", "node", "grams").dropDuplicates(["p1", "p2"])
+    postings = scratch.table(classes.select(F.col("node").alias("rep"), F.explode("grams").alias("gram")), "postings")
     scratch.drop("survivors")
     pivots = postings.groupBy("gram").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("pivot <> other").select("gram", "pivot")
     pivots = scratch.table(pivots, "pivots")
     meets = postings.join(pivots, "gram").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     families = scratch.table(components(meets, scratch, "families"), "family")
-    scratch.drop("postings", "pivots", "first")
+    scratch.drop("postings", "pivots", "classes", "twice")
 
-    groups = members.where("doc_id is not null and n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    groups = scratch.table(groups, "groups")
     sized = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    places = families.join(sized, "component").join(groups, F.col("node") == F.col("class_id")).select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", "copies", "p1", "p2")
-    wanted = rows.join(places, "doc_id").select("family", "blocks", "doc_id", "copies", "p1", "p2", "text")
-    sets = wanted.mapInArrow(_sets(k), "family long, blocks long, doc_id long, copies long, grams binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    places = families.join(sized, "component").join(groups, "node").select("node", F.col("class_id").alias("doc_id"), F.col("component").alias("family"), "blocks", "copies", "p1", "p2")
+    wanted = rows.join(places, "doc_id").select("family", "blocks", "node", "copies", "p1", "p2", "text")
+    sets = wanted.mapInArrow(_sets(k), "family long, blocks long, node long, copies long, grams binary")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = paired.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "copies", "grams")
-    tasks = tasks.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
+    tasks = paired.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "grams")
+    tasks = tasks.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
     found = scratch.table(tasks.mapInArrow(_link(bounds), "a long, b long, links long"), "found")
     scratch.free()
 
     joined = components(found.select("a", "b"), scratch, "links")
+    linked = scratch.table(joined.join(groups, "node").select("node", "component", "class_id"), "linked")
+    heads = scratch.table(linked.groupBy(F.col("component").alias("a")).agg(F.min("class_id").alias("head")), "heads")
+    named = salted(linked.select(F.col("component").alias("a"), F.col("node").alias("b")), heads).select(F.col("b").alias("node"), "head")
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    classes = groups.join(counts.join(joined, "node", "full"), F.col("class_id") == F.col("node"), "left").select("p1", "p2", "class_id", F.coalesce("component", "class_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = groups.join(counts.join(named, "node", "full"), "node", "left").select("p1", "p2", "class_id", F.coalesce("head", "class_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return (
         members.join(classes, ["p1", "p2"], "left")

@@ -111,6 +111,20 @@ def test_jaccard_large_family_in_blocks(spark, monkeypatch):
     same(found, brute_components([(i, shingle_set(t)) for i, t in rows]))
 
 
+def test_jaccard_identifier_on_different_texts(spark):
+    rnd = random.Random(6)
+    shared = [f"w{i}" for i in range(30)]
+    bases = [shared + [f"b{n}x{i}" for i in range(12)] for n in range(4)]
+    rows = []
+    for _ in range(80):
+        w = list(rnd.choice(bases))
+        w[rnd.randrange(len(w))] = f"v{rnd.randrange(20)}"
+        rows.append((rnd.randrange(12), " ".join(w)))
+    rows += [(1, " ".join(bases[0])), (1, " ".join(bases[1])), (2, " ".join(bases[0])), (50, "alone in the corpus with these words")]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    same(found, brute_components([(i, shingle_set(t)) for i, t in rows]))
+
+
 def test_jaccard_on_data(spark, small):
     rows = [(r.doc_id, shingle_set(r.text)) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     same(queries.op2_jaccard_join(spark, small).select("doc_id", "n_shingles", "component_id", "n_links").collect(), brute_components(rows))
