@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding with a batched Viterbi search in numpy.
 
 A text is cut where no piece of the vocabulary can lie across: before a run of spaces that follows
-something else, and around line ends and tabs if no piece has them. The distinct words of a batch are grouped by length, and words of equal length advance
-together: for each end position and each piece length, hashes of the substrings probe the sorted hashes
-of the pieces, and a vectorised maximum over the lengths stores a backpointer.
+something else, and around line ends and tabs if no piece has them. The distinct words of a batch are
+sorted by length and words of equal length advance together: for each piece length, hashes of the
+substrings probe the sorted hashes of the pieces, and at each place a vectorised maximum over the pieces
+that end there stores a backpointer. Long words are cut where no piece lies across and advance in parts.
 
 A unigram model maximises the sum of scores. A model of merges (BPE) keeps those scores as the order of
 its merges, so their sum says nothing; there a step is admissible if merging the last piece before it
@@ -27,10 +28,10 @@ from pyspark.sql.pandas.functions import arrow_udf
 from .words import mix, powers
 
 SPACE = "▁"
-#: Distinct words whose pieces a task remembers between batches.
-REMEMBERED = 600_000
-#: Words of more characters are too few to advance together and go one by one.
-LONG = 64
+#: Bytes of words whose pieces a task remembers between batches.
+REMEMBERED = 24 << 20
+#: Characters that advance together.
+CHARACTERS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _BASE = np.uint64(0xC6A4A7935BD1E995)
@@ -175,6 +176,7 @@ class Model:
         self.parts = re.compile(f"[{apart}]| +[^ {apart}]*|[^ {apart}]+" if apart else " +[^ ]*|[^ ]+")
         table = [p.replace(SPACE, " ").encode() if t == NORMAL else bytes([int(p[1:-1], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" for p, t in zip(self.pieces, self.types, strict=True)]
         self.byte_counts, self.piece_bytes = np.fromiter(map(len, table), np.int64, len(table)), np.frombuffer(b"".join(table), np.uint8)
+        self.byte_starts = np.cumsum(self.byte_counts) - self.byte_counts
         self.bytes_at = np.full(256, self.unknown)
         for i in np.flatnonzero(self.types == BYTE):
             self.bytes_at[int(self.pieces[i][1:-1], 16)] = i
@@ -232,17 +234,11 @@ class Model:
         """Pieces of all words and the number of each; piece ``len(pieces)`` is a character outside the vocabulary."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         by, parts, counts = np.argsort(lengths, kind="stable"), [], []
-        lo = 0
+        sums, lo = np.cumsum(lengths[by]), 0
         while lo < len(by):
-            length = int(lengths[by[lo]])
-            if length > LONG:
-                found = [self._alone(words[i]) for i in by[lo:]]
-                parts += found
-                counts.append(np.array([len(f) for f in found]))
-                break
-            hi = min(lo + max(1, (1 << 19) // length), int(np.searchsorted(lengths[by], length, "right")))
+            hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + CHARACTERS, "right")))
             chars = np.frombuffer("".join([words[i] for i in by[lo:hi]]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            flat, count = self._viterbi(chars.astype(np.uint64).reshape(hi - lo, length).T)
+            flat, count = self._viterbi(chars.astype(np.uint64), lengths[by[lo:hi]])
             parts.append(flat)
             counts.append(count)
             lo = hi
@@ -251,66 +247,78 @@ class Model:
         flat, count = np.concatenate(parts), np.concatenate(counts)
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
-        return _gather(flat, count, place), count[place]
-
-    def _alone(self, word: str) -> np.ndarray:
-        """Pieces of one long word, by the same rules."""
-        unknown = len(self.pieces)
-        if self.kind == BPE:
-            return np.array([self.number.get(p, unknown) for p in _merge(word, self.rank)], np.int64)
-        worst = float(self.scores[self.types == NORMAL].min(initial=0)) - 10
-        best, back = [0.0], [(0, unknown)]
-        for end in range(1, len(word) + 1):
-            top = (best[end - 1] + worst, end - 1, unknown)
-            for begin in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                p = self.number.get(word[begin:end])
-                if p is not None and best[begin] + float(self.scores[p]) > top[0]:
-                    top = (best[begin] + float(self.scores[p]), begin, p)
-            best.append(top[0])
-            back.append(top[1:])
-        found, at = [], len(word)
-        while at:
-            at, p = back[at]
-            found.append(p)
-        return np.array(found[::-1], np.int64)
-
-    def _viterbi(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of equal length, one in each column."""
-        length, n = chars.shape
-        unknown = len(self.pieces)
-        prefix, inverse = hash_prefixes(chars)
-        last = np.full((length + 1, n), unknown, np.int32)
-        back = np.repeat(np.arange(-1, length, dtype=np.int32)[:, None], n, 1)
-        worst = float(self.scores[self.types == NORMAL].min(initial=0)) - 10
-        best = np.full((length + 1, n), -np.inf)
-        best[0] = 0
-        for end in range(1, length + 1):
-            if self.kind == UNIGRAM:
-                best[end] = best[end - 1] + worst
-            else:
-                best[end] = 0  # a character outside the vocabulary, unless a piece is found
-            for size in range(1, min(self.longest, end) + 1):
-                begin = end - size
-                rows, p = self.known.find(_sized((prefix[end] - prefix[begin]) * inverse[begin], size))
-                if self.kind == BPE:
-                    if begin and len(rows):
-                        keep = self.admissible(last[begin, rows].astype(np.int64), p)
-                        rows, p = rows[keep], p[keep]
-                    value = np.full(len(rows), float(size))
-                else:
-                    value = best[begin, rows] + self.scores[p]
-                better = value > best[end, rows]
-                rows, p = rows[better], p[better]
-                best[end, rows], last[end, rows], back[end, rows] = value[better], p, begin
-        steps, at, live = [], np.full(n, length), np.arange(n)
-        where = []
-        while len(live):
-            steps.append(last[at[live], live])
-            where.append(live)
-            at[live] = back[at[live], live]
-            live = live[at[live] > 0]
-        flat, word = np.concatenate(steps[::-1]), np.concatenate(where[::-1])
-        return flat[np.argsort(word, kind="stable")].astype(np.int64), np.bincount(word, minlength=n)
+        return _gather(flat, np.cumsum(count) - count, count, place), count[place]
+
+    def _matches(self, chars: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces lie in words that end at ``ends`` (for each character): begin, size, piece, by size."""
+        sums, inverse = hash_prefixes(chars)
+        begin, size, piece = [], [], []
+        for n in range(1, min(self.longest, len(chars)) + 1):
+            inside = np.flatnonzero(ends[: len(chars) - n + 1] >= np.arange(n, len(chars) + 1))
+            rows, found = self.known.find(_sized((sums[inside + n] - sums[inside]) * inverse[inside], n))
+            begin.append(inside[rows])
+            size.append(np.full(len(rows), n))
+            piece.append(found)
+        return np.concatenate(begin), np.concatenate(size), np.concatenate(piece)
+
+    def _viterbi(self, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words one after another, the shortest first. Those of equal length advance together, and all
+        lengths in step; words are cut where no piece lies across, so a long one advances in its parts."""
+        unknown, n = len(self.pieces), len(chars)
+        ends = np.repeat(np.cumsum(lengths), lengths)
+        begin, size, piece = self._matches(chars, ends)
+        across = np.zeros(n + 2, np.int64)
+        np.add.at(across, begin + 1, 1)
+        np.add.at(across, begin + size, -1)
+        first = np.cumsum(across[:n]) == 0
+        starts = np.flatnonzero(first)
+        origin = np.repeat(starts, np.diff(np.append(starts, n)))
+        # by the place in its part where a piece ends, then by size
+        level = begin + size - origin[begin]
+        by = np.argsort(level, kind="stable")
+        begin, size, piece = begin[by], size[by], piece[by]
+        most = int(level.max(initial=0))
+        cuts = np.searchsorted(level[by], np.arange(1, most + 2))
+        last, back = np.full(n + 1, unknown), np.arange(n)
+        if self.kind == UNIGRAM:
+            worst = float(self.scores[self.types == NORMAL].min(initial=0)) - 10
+            best = np.zeros(n + 1)  # the last stands for what precedes a part
+            sizes = np.diff(np.append(starts, n))
+            longer = np.argsort(sizes, kind="stable")
+            from_ = np.searchsorted(sizes[longer], np.arange(1, int(sizes.max(initial=0)) + 1))
+            for i, skip in enumerate(from_):
+                here = starts[longer[skip:]] + i
+                best[here] = (best[here - 1] if i else 0) + worst
+                lo, hi = (cuts[i], cuts[i + 1]) if i < most else (0, 0)
+                b, s, p = begin[lo:hi], size[lo:hi], piece[lo:hi]
+                value = np.where(first[b], 0, best[b - 1]) + self.scores[p]
+                at = b + s - 1
+                better = np.flatnonzero(value > best[at])
+                better = better[np.lexsort((-s[better], value[better]))]  # of the best the shortest stands last
+                at, b, p = at[better], b[better], p[better]
+                best[at], last[at], back[at] = value[better], p, b
+        else:
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                b, s, p = begin[lo:hi], size[lo:hi], piece[lo:hi]
+                inner = np.flatnonzero(~first[b])
+                if len(inner):
+                    ok = np.ones(len(b), bool)
+                    ok[inner] = self.admissible(last[b[inner] - 1], p[inner])
+                    b, s, p = b[ok], s[ok], p[ok]
+                at = b + s - 1
+                last[at], back[at] = p, b  # the longest stands last
+        word = np.repeat(np.arange(len(lengths)), lengths)
+        steps, where = [], []
+        at = np.append(starts[1:], n) - 1 if n else np.zeros(0, np.int64)
+        while len(at):
+            where.append(at)
+            steps.append(last[at])
+            at = back[at]
+            at = at[~first[at]] - 1
+        if not steps:
+            return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
+        flat, where = np.concatenate(steps), np.concatenate(where)
+        return flat[np.argsort(where)], np.bincount(word[where], minlength=len(lengths))
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of all words and the number of each; characters outside the vocabulary become
@@ -370,7 +378,7 @@ class Model:
         met = [w for ws in split if ws for w in ws]
         at = memory.places(met, self)
         sizes = memory.count[at]
-        flat = _gather(memory.flat, memory.count, at)
+        flat = _gather(memory.flat, memory.start, memory.count, at)
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0] + [len(ws or ()) for ws in split])]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array([ws is None for ws in split]))
 
@@ -378,7 +386,7 @@ class Model:
         """Texts of lists of identifiers; null stays null. Bytes that are no UTF-8 become U+FFFD."""
         ids = np.asarray(lists.flatten())
         count = self.byte_counts
-        data = _gather(self.piece_bytes, count, ids).tobytes()
+        data = _gather(self.piece_bytes, self.byte_starts, count, ids).tobytes()
         sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(count[ids])])[np.concatenate([[0], np.cumsum(sizes)])]
         out = []
@@ -389,33 +397,36 @@ class Model:
 
 
 class Memory(dict):
-    """Places of the words met so far, and their identifiers; forgets all once there are too many."""
+    """Places of the words met so far, and their identifiers; forgets all once they take too much."""
 
     def __init__(self):
         self.new: list[str] = []
-        self.flat, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.size = 0
+        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, word: str) -> int:
         self.new.append(word.replace(" ", SPACE))
+        self.size += 180 + len(word)
         place = self[word] = len(self)
         return place
 
     def places(self, words: list[str], model: Model) -> np.ndarray:
-        if len(self) > REMEMBERED:
+        if self.size > REMEMBERED:
             self.clear()
             self.__init__()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
             flat, count = model.encode_words(self.new)
-            self.flat, self.count, self.new = np.concatenate([self.flat, flat]), np.concatenate([self.count, count]), []
+            start = len(self.flat) + np.cumsum(count) - count
+            self.flat, self.start, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.start, start]), np.concatenate([self.count, count])
+            self.new = []
         return at
 
 
-def _gather(flat: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The items of the lists numbered ``at``, which lie one after another in ``flat``."""
+def _gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The items of the lists numbered ``at``; each begins in ``flat`` at its ``start``."""
     sizes = count[at]
-    starts = (np.cumsum(count) - count)[at]
-    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+    return flat[np.repeat(start[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
 def _sized(h: np.ndarray, size: int) -> np.ndarray:
@@ -424,16 +435,15 @@ def _sized(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def hash_prefixes(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of a polynomial over each column's characters, and what turns differences into hashes."""
-    length, n = chars.shape
-    sums = np.zeros((length + 1, n), np.uint64)
-    np.cumsum(mix(chars + np.uint64(0x51ED270B)) * powers(_BASE, length)[:, None], axis=0, out=sums[1:])
-    return sums, powers(_INVERSE, length + 1)
+    """Prefix sums of a polynomial over characters, and what turns differences into hashes."""
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(mix(chars + np.uint64(0x51ED270B)) * powers(_BASE, len(chars)), out=sums[1:])
+    return sums, powers(_INVERSE, len(chars) + 1)
 
 
 def hash_piece(piece: str) -> np.uint64:
-    sums, _ = hash_prefixes(np.array([[ord(c)] for c in piece], np.uint64))
-    return _sized(sums[-1], len(piece))[0]
+    sums, _ = hash_prefixes(np.array([ord(c) for c in piece], np.uint64))
+    return _sized(sums[-1:], len(piece))[0]
 
 
 def _chunks(column: pa.Array, rows: int = 512):
