@@ -31,12 +31,16 @@ SQL = {
         with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
         f as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as verdict from u, {RULES} where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
         select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from u left join f using (page_id)""",
-    "op6_line_dedup": """
+    "op6_line_dedup": r"""
         with x as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents),
-        w as (select *, case when lead(line, 2) over d is not null then md5(line || chr(10) || lead(line, 1) over d || chr(10) || lead(line, 2) over d) end as h from x window d as (partition by doc_id order by i)),
-        f as (select h, arg_min({'doc': doc_id, 'i': i}, {'doc': doc_id, 'i': i}) as first from w where h is not null group by h having count(*) > 1),
-        m as (select w.*, max(case when first is not null and (first.doc <> doc_id or i - first.i >= 3) then 1 else 0 end) over (partition by doc_id order by w.i rows between 2 preceding and current row) as gone from w left join f using (h))
-        select doc_id, sum(gone)::bigint as n_removed, sha256(coalesce(string_agg(line, chr(10) order by i) filter (gone = 0), '')) as kept_sha256 from m group by doc_id""",
+        v as (select doc_id, i, 3 as n, line || chr(10) || lead(line, 1) over d || chr(10) || lead(line, 2) over d as h from x window d as (partition by doc_id order by i)),
+        w as (select * from v where h is not null
+              union select doc_id, 0, count(*), string_agg(line, chr(10) order by i) from x group by doc_id having count(*) < 3 and bool_or(regexp_matches(line, '[^\x20\x09-\x0D]'))
+              union select doc_id, i, 1, line from x where len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
+        f as (select h, min({'doc': doc_id, 'i': i}) as first from w group by h having count(*) > 1),
+        g as (select distinct doc_id, unnest(range(i, i + n)) as i from w join f using (h) where first.doc <> doc_id or i - first.i >= n),
+        m as (select x.doc_id, x.line, x.i, g.i is not null as gone from x left join g on g.doc_id = x.doc_id and g.i = x.i)
+        select documents.doc_id, count_if(coalesce(gone, false))::bigint as n_removed, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from documents left join m using (doc_id) group by documents.doc_id""",
     "op7_topk_search": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),

@@ -153,35 +153,46 @@ def test_substring_dedup(docs, rows, empty, spark, small):
     same(queries.op3_substring_dedup(spark, small).collect(), [(r.doc_id, *x) for r, x in zip(data, brute_repeats([r.text for r in data], 35), strict=True)])
 
 
-def brute_lines(rows, run):
+def line_windows(text, run, heavy):
+    """(start, lines) of all runs: of ``run`` lines, a whole shorter text with a word, and single lines of many words."""
+    lines = text.split("\n")
+    found = {(s, tuple(lines[s : s + run])) for s in range(len(lines) - run + 1)}
+    if len(lines) < run and words(text):
+        found.add((0, tuple(lines)))
+    return found | {(i, (x,)) for i, x in enumerate(lines) if len(words(x)) >= heavy}
+
+
+def brute_lines(rows, run=3, heavy=50):
     """rows: (doc_id, text). First places by (null last, doc_id, text) order."""
     first = {}
-    order = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None})
-    ranked = {}
-    for none, i, t in order:
-        lines = t.split("\n")
-        for s in range(len(lines) - run + 1):
-            first.setdefault(tuple(lines[s : s + run]), ((none, i, t), s))
-        ranked[(none, i, t)] = lines
+    for me in sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None}):
+        for s, w in sorted(line_windows(me[2], run, heavy)):
+            first.setdefault(w, (me, s))
     for i, t in rows:
         if t is None:
             yield i, 0, None
             continue
-        me, lines, gone = (i is None, i or 0, t), t.split("\n"), set()
-        for s in range(len(lines) - run + 1):
-            at, begin = first[tuple(lines[s : s + run])]
-            if at != me or s - begin >= run:
-                gone.update(range(s, s + run))
-        yield i, len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        me, gone = (i is None, i or 0, t), set()
+        for s, w in line_windows(t, run, heavy):
+            at, begin = first[w]
+            if at != me or s - begin >= len(w):
+                gone.update(range(s, s + len(w)))
+        yield i, len(gone), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
 
 
 def test_line_dedup(docs, rows, empty, spark, small):
     found = line_dedup.dedup_lines(docs, count_col="deleted")
     assert found.columns == [*docs.columns, "deleted"]
-    same(found.select("doc_id", "deleted", "text").collect(), brute_lines([(r[0], r[1]) for r in rows], 3))
+    same(found.select("doc_id", "deleted", "text").collect(), brute_lines([(r[0], r[1]) for r in rows]))
     assert line_dedup.dedup_lines(empty).collect() == []
     data = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    same(line_dedup.dedup_lines(data, count_col="n").select("doc_id", "n", "text").collect(), brute_lines([tuple(r) for r in data.collect()], 3))
+    same(line_dedup.dedup_lines(data, count_col="n").select("doc_id", "n", "text").collect(), brute_lines([tuple(r) for r in data.collect()]))
+    shared = " ".join(f"w{i}" for i in range(51))
+    texts = [f"one\n{shared}\ntwo", f"a\nb\nc\n{shared}", "short\ntext", "short\ntext", "short\ntext\nmore", shared, "", "", " ", " "] + ["x\ny\nz\nx\ny\nz\ny"] * 2
+    more = [(i, t) for i, t in enumerate(texts)]
+    found = line_dedup.dedup_lines(spark.createDataFrame(more, "doc_id long, text string"), count_col="n").select("doc_id", "n", "text").collect()
+    same(found, brute_lines(more))
+    assert [r.n for r in sorted(found)][:10] == [0, 1, 0, 2, 0, 1, 0, 0, 0, 0]
 
 
 def test_exact_dedup(docs, rows, empty, spark):
