@@ -206,6 +206,34 @@ def test_exact_dedup(docs, rows, empty, spark):
     assert exact_dedup.exact_dedup(empty).collect() == []
 
 
+def test_exact_dedup_of_copies_over_many_partitions(spark):
+    texts = ["the same text " * 9, "the same text " * 9 + "x", "", None, "other"]
+    rows = [(i * 7 % 3001, texts[0] if i % 3 else texts[i // 3 % 5]) for i in range(3000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[norm(t)].append(i)
+    same(found, [(i, min(g), len(g), i == min(g), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows for g in [groups[norm(t)]]])
+
+
+def test_exact_dedup_when_hashes_collide():
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["doc_id", "norm", "hash"])
+
+    rows = [(1, "a", 5), (2, "a", 5), (1, "b", 5), (3, "c", 6), (4, "d", 7), (5, "d", 7), (1, "e", 7), (9, "e", 7)]
+    for cut in range(len(rows) + 1):
+        out = [r for b in exact_dedup._runs(iter([batch(rows[:cut]), batch(rows[cut:])])) for r in b.to_pylist()]
+        runs = [(r["run"], r["doc_id"], r["size"], r["edge"]) for r in out if r["size"]]
+        assert sorted(runs) == [(0, 1, 2, "a"), (1, 1, 1, "b"), (2, 3, 1, None), (3, 4, 2, "d"), (4, 1, 2, "e")]
+        assert [r["run"] for r in out if not r["size"]] == [0, 0, 1, 2, 3, 3, 4, 4]
+
+
 def brute_targets(sizes, budget=1.5, cap=2.0, weights=(3, 1, 2)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
