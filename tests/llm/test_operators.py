@@ -149,10 +149,27 @@ def test_substring_dedup(docs, rows, empty, spark, small):
     found = substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", sha).collect()
     same(found, [(r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], 35), strict=True)])
     assert substring_dedup.remove_repeats(empty).collect() == []
+    for group in (1, 4):  # longer prefixes, and whole windows where those are crowded too
+        again = substring_dedup.remove_repeats(docs, group=group).select("doc_id", "n_words", "n_removed", sha).collect()
+        same(again, [(r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], 35), strict=True)])
     data = spark.read.parquet(f"{small}/documents.parquet").collect()
     same(queries.op3_substring_dedup(spark, small).collect(), [(r.doc_id, *x) for r, x in zip(data, brute_repeats([r.text for r in data], 35), strict=True)])
 
 
+def test_substring_trees_over_shared_parts(spark):
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        a = rnd.randrange(80)
+        part = base[a : a + rnd.randrange(20, 60)]
+        rows.append((i, " ".join([f"x{rnd.randrange(9999)}" for _ in range(rnd.randrange(9))] + part + [f"y{rnd.randrange(9999)}" for _ in range(rnd.randrange(9))])))
+    want = [(i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows], 35), strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for group in (1, 8, 30, 8192):
+        same(substring_dedup.remove_repeats(docs, group=group).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect(), want)
+
+
 def line_windows(text, run, heavy):
     """(start, lines) of all runs: of ``run`` lines, a whole shorter text with a word, and single lines of many words."""
     lines = text.split("\n")
