@@ -86,6 +86,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays only where its group has no identifier; keep_id is null then. Other columns are ignored. An
     empty table gives an empty result.
     """
+    W.bound_batches()
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), normalise(docs[text_col]).alias("norm"))

@@ -262,6 +262,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     one by one. A row with null identifier links with nothing and has null component and class. Other
     columns are ignored; an empty table gives an empty result.
     """
+    W.bound_batches()
     spark = docs.sparkSession
     scratch, bounds, parts = Scratch(spark, "jaccard-join"), Bounds(percent), shuffle_partitions(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

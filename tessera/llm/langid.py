@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from .words import bound_batches
+
 PROFILE = 400
 #: Characters of which n-grams are counted at a time.
 CHUNK = 1 << 20
@@ -88,6 +90,7 @@ def _count_grams(batches):
 
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> Profiles:
     """Profiles of all labelled rows of ``docs``; a language without a letter in any of them has none."""
+    bound_batches()
     rows = docs.select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.col("n").desc(), F.col("gram")]
@@ -106,6 +109,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 def predict(text: Column, profiles: Profiles) -> Column:
     """A struct of lang_pred and score. Null texts and those without a letter: ``und`` and 0."""
+    bound_batches()
 
     @arrow_udf("struct<lang_pred string, score double>")
     def run(texts: pa.Array) -> pa.Array:

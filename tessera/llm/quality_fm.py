@@ -120,6 +120,7 @@ def fit(bounds, buckets, weights, stats, labels: np.ndarray, epochs: int = 12, b
 
 def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", meta_col="n_chars", label_col="quality", train_rows: int = TRAIN_ROWS) -> Machine:
     """Learns from the texts of ``docs`` that ``labels`` (id, 0 or 1) covers: all, or about ``train_rows``."""
+    W.bound_batches()
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     total = known.count()
@@ -145,6 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
 def quality(text: Column, metadata: Column, machine: Machine) -> Column:
     """The score of a text. The model travels in the function; it has about 2.4 MB whatever the corpus."""
+    W.bound_batches()
 
     @arrow_udf("double")
     def run(texts: pa.Array, meta: pa.Array) -> pa.Array:

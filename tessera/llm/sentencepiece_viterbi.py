@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .words import mix, powers
+from .words import bound_batches, mix, powers
 
 SPACE = "▁"
 #: Bytes of words whose pieces a task remembers between batches.
@@ -453,6 +453,7 @@ def _chunks(column: pa.Array, rows: int = 512):
 
 def encode(text: Column, model: Model) -> Column:
     """The identifiers of a text as array<int>; null stays null, an empty text has none. No text is cut."""
+    bound_batches()
 
     @arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -466,6 +467,7 @@ def encode(text: Column, model: Model) -> Column:
 
 def decode(ids: Column, model: Model) -> Column:
     """The text of identifiers; null stays null."""
+    bound_batches()
 
     @arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -478,6 +480,7 @@ def decode(ids: Column, model: Model) -> Column:
 
 def encode_and_decode(text: Column, model: Model) -> Column:
     """A struct of ``ids`` and of ``decoded``, the text that they decode to, in one pass through Python."""
+    bound_batches()
 
     @arrow_udf("struct<ids array<int>, decoded string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -258,6 +258,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     Other columns are ignored; an empty table gives an empty result. ``group`` is how many suffixes a
     tree may hold; it changes no result.
     """
+    W.bound_batches()
     spark = docs.sparkSession
     scratch, half, most = Scratch(spark, "substring-dedup"), _halves(window, gram), window - gram
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

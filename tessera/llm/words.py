@@ -7,12 +7,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+#: Bytes of one Arrow batch between the JVM and Python, unless the session sets its own bound.
+BATCH_BYTES = "2m"
 CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 
 
+def bound_batches() -> None:
+    """Bounds Arrow batches of the active session by bytes. Left alone, a batch has 10,000 rows however long
+    their texts, and both sides hold several such batches for each task."""
+    conf = SparkSession.active().conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def is_space() -> np.ndarray:
     table = np.zeros(256, bool)
     table[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
