@@ -42,9 +42,9 @@ SQL = {
         m as (select x.doc_id, x.line, x.i, g.i is not null as gone from x left join g on g.doc_id = x.doc_id and g.i = x.i)
         select documents.doc_id, count_if(coalesce(gone, false))::bigint as n_removed, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from documents left join m using (doc_id) group by documents.doc_id""",
     "op7_topk_search": """
-        with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
-        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        with v as (select row_number() over () as k, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.k as query, q.vec_id as query_id, c.k, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id % 20 = 0 and c.k <> q.k),
+        r as (select *, row_number() over (partition by query order by score desc, vec_id, k)::int as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 20""",
     "op8_exact_dedup": r"""
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),

@@ -3,11 +3,11 @@
 Vectors become integers and are range-partitioned by descending length into blocks. All are turned by
 one rotation, the eigenvectors of their Gram matrix (the SVD's right vectors), which puts most of an
 inner product into the first coordinates. Each block of queries first meets the block of the longest
-vectors, which gives each query a floor for its k-th score. Then it meets every other block: the block
-is skipped where the lengths alone bound all scores below the floors (Cauchy-Schwarz), else the sum
-over the first coordinates plus the product of the residual lengths bounds each score, and only pairs
-that may reach the floor get their exact integer score. Query and candidate blocks meet in tasks of
-bounded size; no pair of rows is a row of any table.
+vectors, which gives each query a floor: its k-th score and the row that has it. Blocks whose lengths
+alone bound all scores below the floors (Cauchy-Schwarz) are never sent. In the others the sum over the
+first coordinates plus the product of the residual lengths bounds each score, and only pairs that may
+reach the floor get their exact integer score; of equal scores only smaller identifiers pass. Query and
+candidate blocks meet in tasks of bounded size; no pair of rows is a row of any table.
 """
 
 from __future__ import annotations
@@ -18,10 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import words as W
 from ..sources.scratch import Scratch
 
 BLOCK = 8192
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
+#: Queries of a block that are bounded at a time.
+ROWS = 256
+#: Longer vectors take no part: their products may not fit 64 bits.
+LONGEST = 2.0**31
 #: Coordinates of the first, pruning sum.
 HEAD = 16
 
@@ -48,6 +53,9 @@ def _integers(scale):
     def run(batches):
         for b in batches:
             rows, m = to_integers(b["embedding"], scale)
+            with np.errstate(over="ignore"):
+                fits = np.sqrt((m * m).sum(1)) < LONGEST
+            rows, m = rows[fits], m[fits]
             if len(rows):
                 ids = b["vec_id"].take(pa.array(rows))
                 flat = pa.array(m.astype(np.int64).ravel())
@@ -78,113 +86,146 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _pack(width):
-    """A row for each group of rows that share a block: identifiers and components as bytes."""
+    """A row for each group of rows that share a block: identifiers, row keys and components as bytes."""
 
     def run(key, pdf):
-        order = np.argsort(-pdf["norm"].to_numpy(), kind="stable")
-        m = _matrix(pa.array(pdf["vec"].to_numpy()[order]), width)
-        return pd.DataFrame({"block": [key[0]], "longest": [pdf["norm"].max()], "ids": [pdf["vec_id"].to_numpy(np.int64)[order].tobytes()], "vectors": [m.tobytes()]})
+        pdf = pdf.sort_values(["norm", "vec_id", "key"], ascending=[False, True, True])
+        m = _matrix(pa.array(pdf["vec"].to_numpy()), width).astype(np.int32)
+        return pd.DataFrame({"block": [key[0]], "longest": [pdf["norm"].max()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "keys": [pdf["key"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()]})
 
     return run
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def _unpack(row, width):
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["keys"], np.int64), np.frombuffer(row["vectors"], np.int32).reshape(-1, width).astype(float)
+
+
+#: The floor of a query: score, identifier and key of the k-th row so far.
+_FLOOR = np.dtype([("score", float), ("id", np.int64), ("key", np.int64)])
 
 
 def _meet(width, k, rotation):
-    """Scores of a block of queries against a block of candidates; queries carry their floors."""
+    """Scores of a block of queries against a block of candidates, the k best that pass each query's floor."""
     top = rotation[:, :HEAD]
+    rest = lambda m, h: np.sqrt(np.maximum((m * m).sum(1) - (h * h).sum(1), 0))
+
+    def score(q, floors, c, longest):
+        (qid, qkey, qm), (cid, ckey, cm) = q, c
+        qnorm = np.sqrt((qm * qm).sum(1))
+        ch = cm @ top
+        crest = rest(cm, ch)
+        exact = np.abs(qm).max(initial=0) * np.abs(cm).max(initial=0) * width < 2.0**52
+        every = np.flatnonzero(qnorm * longest * (1 + 1e-9) + 1e-6 >= floors["score"])
+        for lo in range(0, len(every), ROWS):
+            live = every[lo : lo + ROWS]
+            qh = qm[live] @ top
+            may = qh @ ch.T
+            may += np.outer(rest(qm[live], qh), crest)
+            may = may + (1e-6 + 1e-9 * qnorm[live, None] * longest) >= floors["score"][live, None]
+            for row, i in enumerate(live):
+                at = np.flatnonzero(may[row] & (ckey != qkey[i]))
+                if not len(at):
+                    continue
+                s = (cm[at] @ qm[i]).astype(np.int64) if exact else cm[at].astype(np.int64) @ qm[i].astype(np.int64)
+                f = floors[i]
+                passes = (s > f["score"]) | ((s == f["score"]) & ((cid[at] < f["id"]) | ((cid[at] == f["id"]) & (ckey[at] < f["key"]))))
+                at, s = at[passes], s[passes]
+                best = np.lexsort((ckey[at], cid[at], -s))[:k]
+                if len(best):
+                    yield np.full(len(best), qkey[i]), np.full(len(best), qid[i]), ckey[at[best]], cid[at[best]], s[best]
 
     def run(left, right):
-        found = {"query_id": [], "vec_id": [], "score": []}
+        found = [(np.zeros(0, np.int64),) * 5]
         for _, q in left.iterrows():
-            qid, qm = np.frombuffer(q["ids"], np.int64), np.frombuffer(q["vectors"]).reshape(-1, width)
-            floors = np.frombuffer(q["floors"]) if q["floors"] is not None else np.full(len(qid), -np.inf)
-            qnorm = np.sqrt((qm * qm).sum(1))
+            packed = _unpack(q, width)
+            floors = np.frombuffer(q["floors"], _FLOOR) if q["floors"] is not None else np.full(len(packed[0]), np.array((-np.inf, 0, 0), _FLOOR))
             for _, c in right.iterrows():
-                live = np.flatnonzero(qnorm * c["longest"] * (1 + 1e-9) + 1e-6 >= floors)
-                if not len(live):
-                    continue
-                cid, cm = np.frombuffer(c["ids"], np.int64), np.frombuffer(c["vectors"]).reshape(-1, width)
-                qh, ch = qm[live] @ top, cm @ top
-                rest = lambda m, h: np.sqrt(np.maximum((m * m).sum(1) - (h * h).sum(1), 0))
-                bound = qh @ ch.T + np.outer(rest(qm[live], qh), rest(cm, ch))
-                slack = 1e-6 + 1e-9 * np.outer(qnorm[live], np.full(len(cid), c["longest"]))
-                may = bound + slack >= floors[live, None]
-                exact = np.abs(qm).max(initial=0) * np.abs(cm).max(initial=0) * width < 2.0**52
-                for row, i in enumerate(live):
-                    at = np.flatnonzero(may[row] & (cid != qid[i]))
-                    if not len(at):
-                        continue
-                    s = (cm[at] @ qm[i]).astype(np.int64) if exact else cm[at].astype(np.int64) @ qm[i].astype(np.int64)
-                    reach = np.flatnonzero(s >= floors[i])
-                    best = reach[_best(cid[at[reach]], s[reach], k)]
-                    found["query_id"].append(np.full(len(best), qid[i]))
-                    found["vec_id"].append(cid[at[best]])
-                    found["score"].append(s[best])
-        return pd.DataFrame({n: np.concatenate(v) if v else np.zeros(0, np.int64) for n, v in found.items()})
+                found += score(packed, floors, _unpack(c, width), c["longest"])
+        return pd.DataFrame({n: np.concatenate(v) for n, v in zip(["query_key", "query_id", "key", "vec_id", "score"], zip(*found, strict=True), strict=True)})
 
     return run
 
 
-def _floors(k):
-    """Adds to a query block the k-th scores that its first meeting found."""
+def _floors(width, k, longest):
+    """Adds to a query block the floors that its first meeting set, and how many of the blocks after the first
+    (by ``longest``, their greatest lengths, descending) may still hold a score that reaches one of them."""
 
     def run(left, right):
         left = left.copy()
-        kth = right.sort_values("score", ascending=False).groupby("query_id")["score"].agg(lambda s: s.iloc[k - 1] if len(s) >= k else -np.inf)
-        left["floors"] = [np.array([kth.get(x, -np.inf) for x in np.frombuffer(b, np.int64)], float).tobytes() for b in left["ids"]]
+        best = right.sort_values(["query_key", "score", "vec_id", "key"], ascending=[True, False, True, True])
+        kth = best.groupby("query_key").nth(k - 1)
+        known = dict(zip(kth["query_key"], zip(kth["score"], kth["vec_id"], kth["key"], strict=True), strict=True))
+        floors, blocks = [], []
+        for _, q in left.iterrows():
+            _, keys, m = _unpack(q, width)
+            f = np.array([known.get(x, (-np.inf, 0, 0)) for x in keys.tolist()], _FLOOR)
+            norm = np.sqrt((m * m).sum(1))
+            with np.errstate(divide="ignore"):
+                reach = np.where(f["score"] > 0, f["score"] / norm * (1 - 1e-9) - 1e-6, -np.inf).min(initial=np.inf)
+            floors.append(f.tobytes())
+            blocks.append(int((longest >= reach).sum()))
+        left["floors"], left["blocks"] = floors, np.array(blocks, np.int32)
         return left
 
     return run
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """The k highest integer inner products of every query with every row but its own.
+    """The k highest integer inner products of every query row with every other row.
 
     ``is_query`` is a condition on ``vec_id``. Returns query_id, rank (from 1), vec_id, score; ties go
     to the smaller vec_id; a query gets fewer than k rows only where there are fewer candidates. Null
-    vectors, those with null or non-finite components and rows without identifier take no part;
-    shorter vectors count as ending in zeros. Identifiers are keys: of rows that repeat one, all but
-    the one with the greatest vector are left out. Components up to 2^31 in size are exact. Other
-    columns are ignored; an empty table gives an empty result.
+    vectors, those with null or non-finite components, those of length 2^31 and more (as integers; their
+    products may not fit a long) and rows without identifier take no part; shorter vectors count as
+    ending in zeros. Rows that repeat an identifier are candidates one by one, and each query row that
+    repeats one gets its own k rows. Other columns are ignored; an empty table gives an empty result.
     """
+    scores = scored(vectors, is_query, k, scale, id_col, vector_col, block, query_block)
+    best = Window.partitionBy("query_key").orderBy(F.col("score").desc(), F.col("vec_id"), F.col("key"))
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def scored(vectors: DataFrame, is_query, k: int, scale: float, id_col: str, vector_col: str, block: int, query_block: int) -> DataFrame:
+    """query_key, query_id, key, vec_id, score: for each query at most k rows of each block that it met."""
+    W.bound_batches()
     spark = vectors.sparkSession
     scratch = Scratch(spark, "top-k")
-    schema = "query_id long, vec_id long, score long"
+    schema = "query_key long, query_id long, key long, vec_id long, score long"
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("embedding")).where("vec_id is not null")
     ints = rows.mapInArrow(_integers(scale), "vec_id long, vec array<long>, norm double")
-    ints = scratch.table(ints.groupBy("vec_id").agg(F.max(F.struct("norm", "vec")).alias("v")).select("vec_id", "v.vec", "v.norm"), "integers")
+    ints = scratch.table(ints.withColumn("key", F.monotonically_increasing_id()), "integers")
     shape = ints.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
     n, width = shape["n"], max(1, shape["width"] or 1)
+    if not n:
+        return spark.createDataFrame([], schema)
     # a width x width matrix from each task
     gram = sum((np.frombuffer(r["gram"]).reshape(width, width) for r in ints.mapInArrow(_gram(width), "gram binary").toLocalIterator()), np.zeros((width, width)))
     rotation = np.linalg.eigh(gram)[1][:, ::-1].copy()
 
-    blocks = max(1, -(-n // block))
-    order = [F.col("norm").desc(), F.col("vec_id")]
-    cuts = ints.repartitionByRange(blocks, *order).withColumn("block", F.spark_partition_id())
-    packed = "block int, longest double, ids binary, vectors binary"
-    candidates = scratch.table(cuts.groupBy("block").applyInPandas(_pack(width), packed), "candidates")
+    order = [F.col("norm").desc(), F.col("vec_id"), F.col("key")]
+    cuts = ints.repartitionByRange(max(1, -(-n // block)), *order).withColumn("block", F.spark_partition_id())
+    packed = "block int, longest double, ids binary, keys binary, vectors binary"
+    candidates = scratch.table(cuts.groupBy("block").applyInPandas(_pack(width), packed), "candidates", "none")
     asked = ints.where(is_query(F.col("vec_id")))
     parts = max(1, -(-asked.count() // query_block))
-    queries = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).groupBy("block").applyInPandas(_pack(width), packed)
-    queries = scratch.table(queries.withColumnRenamed("block", "part").withColumn("floors", F.lit(None).cast("binary")), "queries")
-    numbers = [r["block"] for r in candidates.select("block").orderBy("block").collect()]
-    if not numbers:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-    def meet(q, c, at):
-        sides = [q.withColumn("block", F.explode(F.lit(at))), c.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))]
-        a, b = (x.groupBy("part", "block") for x in sides)
-        return a.cogroup(b).applyInPandas(_meet(width, k, rotation), schema)
-
-    first = scratch.table(meet(queries, candidates.where(F.col("block") == numbers[0]), numbers[:1]), "first")
-    seeded = first.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    floored = queries.groupBy("part").cogroup(seeded.groupBy("part")).applyInPandas(_floors(k), queries.schema)
-    scores = first
-    if len(numbers) > 1:
-        scores = scores.unionByName(meet(floored, candidates.where(F.col("block") != numbers[0]), numbers[1:]))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    part_of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    queries = asked.withColumn("block", part_of("key")).groupBy("block").applyInPandas(_pack(width), packed).withColumnRenamed("block", "part")
+    queries = scratch.table(queries.withColumn("floors", F.lit(None).cast("binary")).withColumn("blocks", F.lit(0)), "queries", "none")
+    # two numbers for each block, in the order of their lengths
+    lengths = [(r["block"], r["longest"]) for r in candidates.select("block", "longest").orderBy("block").collect()]
+    head = lengths[0][0]
+
+    def meet(q, c):
+        return q.groupBy("part", "block").cogroup(c.groupBy("part", "block")).applyInPandas(_meet(width, k, rotation), schema)
+
+    opening = candidates.where(F.col("block") == head).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    first = scratch.table(meet(queries.withColumn("block", F.lit(head)), opening), "first")
+    if len(lengths) == 1:
+        return first
+    seeded = first.withColumn("part", part_of("query_key"))
+    later = np.array([x for _, x in lengths[1:]])
+    floored = scratch.table(queries.groupBy("part").cogroup(seeded.groupBy("part")).applyInPandas(_floors(width, k, later), queries.schema), "floored", "none")
+    numbers = F.lit([b for b, _ in lengths[1:]])
+    pairs = scratch.table(floored.where("blocks > 0").select("part", F.explode(F.slice(numbers, F.lit(1), F.col("blocks"))).alias("block")), "pairs")
+    rest = meet(floored.join(pairs, "part"), candidates.join(pairs, "block"))
+    return first.unionByName(rest)

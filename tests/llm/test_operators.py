@@ -344,6 +344,29 @@ def test_top_k(spark):
     assert topk_search.top_k(few, lambda c: c % 20 == 0).count() == 2
 
 
+def test_top_k_of_repeated_identifiers(spark):
+    rnd = random.Random(8)
+    rows = [(i % 70, [float(rnd.randrange(-3, 4)) for _ in range(4)]) for i in range(300)]
+    rows += [(0, rows[0][1]), (1, [1e30] * 4), (2, [2.0**23] * 4)]  # the last fits, the one before does not
+    want = []
+    for n, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            scores = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w)), i) for m, (i, w) in enumerate(rows) if m != n and w[0] < 1e20)[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    same(topk_search.top_k(df, lambda c: c % 20 == 0, block=50, query_block=6).collect(), want)
+    four = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [2.0]), (2, [1.0]), (2, [0.5])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in topk_search.top_k(four, lambda c: c == 0).orderBy("rank").collect()] == [(1, 8192), (1, 4096), (2, 4096), (2, 2048)]
+
+
+def test_top_k_of_equal_vectors_passes_no_ties_on(spark):
+    df = spark.range(6_000).select(F.col("id").alias("vec_id"), F.array(*[F.lit(0.5)] * 4).alias("embedding"))
+    out = topk_search.scored(df, lambda c: c % 20 == 0, 20, 64.0, "vec_id", "embedding", 500, 64)
+    assert out.count() <= 300 * 20 * 2  # the first block's, and no block's ties beside them
+    found = topk_search.top_k(df, lambda c: c % 20 == 0, block=500, query_block=64)
+    same([tuple(r) for r in found.where("query_id = 40").collect()], [(40, i + 1, i, 4096) for i in range(20)])
+
+
 def test_language_id(docs, rows, empty, spark, small):
     found = langid.identify(docs, F.lit(False)).collect()
     assert len(found) == len(rows)
