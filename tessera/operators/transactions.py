@@ -39,9 +39,11 @@ def committed_since(versions: DataFrame, read_set: DataFrame, begin: int) -> Dat
 
 
 def collect_garbage(versions: DataFrame, oldest: int) -> DataFrame:
-    """Versions that stay: of each key the newest, those not older than ``oldest``, and the first older one."""
+    """Versions that stay: of each key the newest, those not older than ``oldest``, and the first older one.
+    Intents (null commit_ts) stay as they are."""
     newest = Window.partitionBy("key").orderBy(F.col("commit_ts").desc())
     rows = versions.where("commit_ts is not null").withColumn("n", F.row_number().over(newest))
     old = (F.col("n") > 1) & (F.col("commit_ts") < oldest)
     rows = rows.withColumn("older", F.sum(old.cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.where("older <= 1").select("key", "value", "commit_ts")
+    kept = rows.where("older <= 1").select("key", "value", "commit_ts")
+    return kept.unionByName(versions.where("commit_ts is null").select("key", "value", "commit_ts"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,17 +96,76 @@ def assign_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return normalise(vectors.where(F.size("vector") == centres.shape[1])).mapInArrow(run, "key string, vector array<double>, cell int")
 
 
-def ann_batch(index: DataFrame, centres: np.ndarray, queries: list[tuple[int, list[float]]], k: int = 10, ef: int = 8) -> DataFrame:
-    """As :func:`knn_batch`, but a query meets only its ``ef`` nearest cells."""
-    spark = index.sparkSession
-    rows = []
-    for qid, v in queries:
-        v = np.asarray(v, float) / max(MIN_NORM, float(np.sqrt(np.square(v).sum())))
-        rows += [(qid, v.tolist(), int(c)) for c in np.argsort(-(centres @ v))[:ef]]
-    asked = spark.createDataFrame(rows, "qid long, q array<double>, cell int")
-    near = index.join(F.broadcast(asked), "cell").select("qid", "key", F.round(cosine_distance(F.col("vector"), F.col("q")), 6).alias("distance"))
+def probes(queries: DataFrame, centres: np.ndarray, ef: int) -> DataFrame:
+    """qid, vector, cell: each query's ``ef`` nearest cells. Queries of another dimension or without length have none."""
+
+    def run(batches):
+        for b in batches:
+            m = np.array(b["vector"].to_pylist(), float).reshape(b.num_rows, -1)
+            near = np.argsort(-(m @ centres.T), axis=1)[:, :ef] if len(m) else np.zeros((0, ef), int)
+            rows = pa.array(np.repeat(np.arange(len(m)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([b["key"].cast(pa.int64()).take(rows), b["vector"].take(rows), pa.array(near.ravel(), pa.int32())], ["qid", "vector", "cell"])
+
+    unit = normalise(queries.where(F.size("vector") == centres.shape[1]).withColumn("key", F.col("qid").cast("string")))
+    return unit.mapInArrow(run, "qid long, vector array<double>, cell int")
+
+
+#: Vectors and queries that meet in one task.
+VECTOR_BLOCK, QUERY_BLOCK = 16_384, 1024
+
+
+def _packed(rows: DataFrame, by: str) -> DataFrame:
+    """A row for each (cell, ``by``): identifiers, and vectors as bytes."""
+
+    def run(key, pdf):
+        return pd.DataFrame({"cell": [key[0]], by: [key[1]], f"{by}_ids": [pdf["id"].tolist()], f"{by}_vectors": [np.array(pdf["vector"].tolist(), float).tobytes()]})
+
+    return rows.groupBy("cell", by).applyInPandas(run, f"cell int, {by} int, {by}_ids array<string>, {by}_vectors binary")
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """qid, key, distance, rank from ``vectors`` (key, vector, cell) and ``queries`` (qid, vector, cell), all unit
+    vectors. Blocks of both meet where they share a cell, and each meeting passes on k rows a query."""
+    dealt = {}
+    for rows, by, size in ((vectors.select(F.col("key").alias("id"), "vector", "cell"), "block", VECTOR_BLOCK), (queries.select(F.col("qid").cast("string").alias("id"), "vector", "cell"), "part", QUERY_BLOCK)):
+        counts = {r["cell"]: max(1, -(-r["count"] // size)) for r in rows.groupBy("cell").count().collect()}  # a row for each cell
+        if not counts:
+            return vectors.sparkSession.createDataFrame([], "qid long, key string, distance double, rank long")
+        of = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("cell")]
+        dealt[by] = _packed(rows.withColumn(by, F.pmod(F.xxhash64("id"), of).cast("int")), by)
+
+    def meet(pdf):
+        found = []
+        for r in pdf.itertuples():
+            keys, ids = np.array(r.block_ids), [int(x) for x in r.part_ids]
+            m, q = (np.frombuffer(x).reshape(len(n), -1) for x, n in ((r.block_vectors, keys), (r.part_vectors, ids)))
+            for lo in range(0, len(ids), 128):
+                near = np.round(1 - np.clip(q[lo : lo + 128] @ m.T, -1, 1), 6) + 0.0
+                for qid, d in zip(ids[lo : lo + 128], near, strict=True):
+                    at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    at = at[np.lexsort((keys[at], d[at]))[:k]]
+                    found.append(pd.DataFrame({"qid": qid, "key": keys[at], "distance": d[at]}))
+        return pd.concat(found) if found else pd.DataFrame({"qid": [], "key": [], "distance": []})
+
+    met = dealt["block"].join(dealt["part"], "cell").groupBy("cell", "block", "part").applyInPandas(meet, "qid long, key string, distance double")
     best = Window.partitionBy("qid").orderBy("distance", "key")
-    return near.withColumn("rank", (F.row_number().over(best) - 1).cast("long")).where(F.col("rank") < k)
+    return met.withColumn("rank", (F.row_number().over(best) - 1).cast("long")).where(F.col("rank") < k)
+
+
+def knn_table(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """As :func:`knn_batch` for a table of queries (qid, vector) of any size, each against all rows of its dimension."""
+    unit = normalise(queries.withColumn("key", F.col("qid").cast("string"))).select(F.col("key").cast("long").alias("qid"), "vector", F.size("vector").alias("cell"))
+    return _nearest(normalise(vectors).withColumn("cell", F.size("vector")), unit, k)
+
+
+def ann_table(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 10, ef: int = 8) -> DataFrame:
+    """As :func:`knn_table`, but a query meets only its ``ef`` nearest cells of ``index``."""
+    return _nearest(index, probes(queries, centres, ef), k)
+
+
+def ann_batch(index: DataFrame, centres: np.ndarray, queries: list[tuple[int, list[float]]], k: int = 10, ef: int = 8) -> DataFrame:
+    """:func:`ann_table` for a list of queries."""
+    return ann_table(index, centres, index.sparkSession.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "qid long, vector array<double>"), k, ef)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

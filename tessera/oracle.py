@@ -112,6 +112,7 @@ SQL: dict[str, str] = {
     "bm25_postings": f"select key, term, count(*) as tf from (select key, unnest(list_concat({tok('key')}, {tok('value')})) as term from {DOCS}) group by key, term",
     "bm25_corpus_stats": f"with d as (select list_concat({tok('key')}, {tok('value')}) as t from {DOCS}) select count(*) as n_docs, (select count(distinct x) from (select unnest(t) as x from d)) as vocab_size, round(avg(len(t)), 6) as avgdl from d",
     "bm25_search": f"select * from {bm25(DOCS, 'tion er er hathe the', 20)}",
+    "bm25_stored_search": f"select * from {bm25(DOCS, 'tion er er hathe the', 20)}",
     "bm25_params": f"select * from {bm25(DOCS, 'tion er er hathe the', 20, 1.2, 0.5)}",
     "bm25_batch_search": f"""with d as (select key, list_concat({tok('key')}, {tok('value')}) as terms from {DOCS}),
         p as (select key, t, count(*) as tf from (select key, unnest(terms) as t from d) group by key, t), l as (select key, sum(tf) as dl from p group by key),
@@ -140,7 +141,7 @@ SQL: dict[str, str] = {
     "graph_dfs": f"select key from ({bfs('order/0', 9)})",
     "graph_counts": f"select (select count(*) from (select src from {EDGES} union select dst from {EDGES})) as node_count, (select count(*) from {EDGES}) as edge_count",
     "graph_search_docs": f"select h.key, coalesce(d.value, '') as value, score, rank from {fuse([WALK, bm25(NODES, 'order/0', 40)], 20)} h left join {NODES} d using (key)",
-    "symbol_classify": f"with t as (select key as text from {SYMBOLS} union select p_name from part union select substr(text, 1, 30) from documents) select text, {symbol('text')} as is_symbol from t",
+    "symbol_classify": f"with t as (select key, key as text from {SYMBOLS} union all select distinct p_name, p_name from part union all select key, value from {DOCS}) select key, {symbol('text')} as is_symbol from t",
     "query_plan": f"""with q as (select event_id, case when event_id % 4 = 0 then event_type || 'Name' when event_id % 4 = 1 then props end as t, case when event_id % 3 = 0 then event_type end as s, event_id % 5 = 0 as v, event_id % 7 = 0 as r from events)
         select event_id, array_to_string(list_concat(case when r then ['graph'] else [] end, case when t <> '' and {symbol('t')} and octet_length(encode(t)) <= 32 then ['fuzzy', 'keyword'] when t <> '' then ['keyword'] when v then [] when s <> '' then ['fuzzy'] else [] end, case when v then ['vector'] else [] end), ',') as steps from q""",
     "rrf_fuse": f"select * from {fuse([bm25(DOCS, 'hathe the', 20), bm25(DOCS, 'tion er', 20)], 10)}",
@@ -183,7 +184,7 @@ SQL: dict[str, str] = {
     "mvcc_read_asof": f"select key, arg_max(value, commit_ts) as value, max(commit_ts) as commit_ts from {PUTS} where commit_ts <= {at(5)} group by key",
     "mvcc_visible": f"select key, arg_max(value, commit_ts) as value, max(commit_ts) as commit_ts from {PUTS} where commit_ts % 11 <> 0 group by key",
     "mvcc_conflicts": f"select key from {READ_SET} where key in (select key from {PUTS} where commit_ts > {at(4)})",
-    "mvcc_gc": f"with r as (select *, row_number() over (partition by key order by commit_ts desc) as n from {PUTS}), o as (select *, row_number() over (partition by key, n > 1 and commit_ts < {at(6)} order by commit_ts desc) as m from r) select key, count(*) as n_versions from o where not (n > 1 and commit_ts < {at(6)}) or m = 1 group by key",
+    "mvcc_gc": f"with v as (select key, case when commit_ts % 11 <> 0 then commit_ts end as commit_ts from {PUTS}), r as (select *, row_number() over (partition by key order by commit_ts desc) as n from v where commit_ts is not null), o as (select *, row_number() over (partition by key, n > 1 and commit_ts < {at(6)} order by commit_ts desc) as m from r), k as (select key, commit_ts from o where not (n > 1 and commit_ts < {at(6)}) or m = 1 union all select key, null from v where commit_ts is null) select key, count(*) as n_versions, count(*) filter (commit_ts is null) as n_intents from k group by key",
     "schema_validate": f"select event_id, len(w)::bigint as n_errors, array_to_string(list_transform(w, lambda x: x.message), '; ') as messages from (select event_id, {WRONG} as w from {RAW})",
     "schema_violation_counts": f"select e.field as field, e.message as message, count(*) as n from (select unnest({WRONG}) as e from {RAW}) group by all",
     "schema_defaults": f"select coalesce(lines, '0') as lines, count(*) as n from {RAW} group by 1",

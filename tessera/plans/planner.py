@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_symbol_like, looks_symbol_like
 from ..operators import fuzzy, graph, vector
-from ..operators.keyword import bm25, rank_hits
+from ..operators import keyword
+from ..operators.keyword import rank_hits
 
 RRF_K = 60
 SYMBOL_BYTES = 32
@@ -62,11 +63,13 @@ def fuse(lists: list[DataFrame], top_k: int = 10, k: int = RRF_K) -> DataFrame:
 
 @dataclass
 class Indexes:
-    """What a fused query may search. ``docs``: key, value. ``vectors``: key, vector. ``edges``: src, dst, relation."""
+    """What a fused query may search. ``docs``: key, value. ``vectors``: key, vector. ``edges``: src, dst, relation.
+    ``postings``: what :func:`keyword.index` makes of ``docs``, if it is stored."""
 
     docs: DataFrame
     vectors: DataFrame | None = None
     edges: DataFrame | None = None
+    postings: DataFrame | None = None
 
 
 def search(indexes: Indexes, spec: QuerySpec) -> DataFrame:
@@ -74,7 +77,7 @@ def search(indexes: Indexes, spec: QuerySpec) -> DataFrame:
     n, lists = 2 * spec.top_k, []
     for step in plan(spec):
         if step == "keyword":
-            lists.append(bm25(indexes.docs, spec.text, n))
+            lists.append(keyword.bm25(indexes.docs, spec.text, n) if indexes.postings is None else keyword.search(indexes.postings, spec.text, n))
         elif step == "fuzzy":
             lists.append(fuzzy.search(indexes.docs, spec.symbol or spec.text, n))
         elif step == "vector" and indexes.vectors is not None:

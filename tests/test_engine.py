@@ -65,7 +65,7 @@ def test_bm25(spark):
     assert [(r.score, r.key) for r in found] == python_bm25(DOCS, "jwt authentication jwt")
     assert found[0].key == "auth/jwt.rs" and [r["rank"] for r in found] == list(range(len(found)))
     assert keyword.bm25(docs, "nothing", 5).collect() == [] and keyword.bm25(docs, "", 5).collect() == [] and keyword.bm25(docs, "jwt", 0).collect() == []
-    batch = keyword.bm25_batch(keyword.postings(docs), frame(spark, [(1, "jwt authentication jwt"), (2, "date")], "qid long, text string"), 3)
+    batch = keyword.bm25_batch(keyword.index(docs), frame(spark, [(1, "jwt authentication jwt"), (2, "date")], "qid long, text string"), 3)
     assert [(r.score, r.key) for r in batch.where("qid = 1").orderBy("rank").collect()] == python_bm25(DOCS, "jwt authentication jwt")[:3]
 
 
@@ -99,6 +99,8 @@ def test_vectors(spark):
     asked = [(i, rows[i][1]) for i in range(20)]
     exact = vector.knn_batch(v, asked, 10).cache()
     assert [r.key for r in exact.where("qid = 7").orderBy("rank").collect()] == [k for _, k in want]
+    table = frame(spark, asked, "qid long, vector array<double>")
+    assert sorted(map(tuple, vector.knn_table(v, table, 10).collect())) == sorted(map(tuple, exact.select("qid", "key", "distance", "rank").collect()))
     centres = vector.train_cells(v, 8)
     assert vector.recall(vector.ann_batch(vector.assign_cells(v, centres), centres, asked, 10, ef=6), exact).first().recall >= 0.8
 
@@ -225,7 +227,7 @@ def test_transactions(spark):
     v = frame(spark, [("k", f"v{t}", t) for t in (1, 3, 5, 7)] + [("k", "intent", None), ("j", "x", 2)], "key string, value string, commit_ts long")
     assert {r.key: r.value for r in transactions.visible(v, 5).collect()} == {"k": "v5", "j": "x"} and transactions.visible(v).where("key = 'k'").first().value == "v7"
     assert keys(transactions.committed_since(v, frame(spark, [("k",), ("j",)], "key string"), 2)) == ["k"]
-    assert sorted(r.commit_ts for r in transactions.collect_garbage(v, 4).where("key = 'k'").collect()) == [3, 5, 7]
+    assert sorted((r.commit_ts or 0, r.value) for r in transactions.collect_garbage(v, 4).where("key = 'k'").collect()) == [(0, "intent"), (3, "v3"), (5, "v5"), (7, "v7")]
 
 
 def test_validation(spark):
