@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 import time
+import weakref
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import fuzzy, graph, sessions, state, transactions, vector, versions
+from .operators import fuzzy, graph, keyword, namespaces, sessions, state, transactions, vector, versions
 from .plans import planner
 from .sources import log as logs
 from .streaming import watch as watching
@@ -48,49 +50,120 @@ def _documents(hits: DataFrame) -> list[Document]:
 
 
 class DB:
+    """The records of a folder. The log holds what is flushed; a compaction moves it to a base folder that a
+    pointer names, so that a failed one changes nothing and watches see only new records. Postings are
+    written with the records, and searches read them and not the text."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._pending: list[tuple] = []
         self._edges: list[tuple[str, str, str]] = []
-        self._vectors: dict[str, list[float]] = {}
-        self._refs: dict[str, int] = {}
+        self._vectors: dict[str, tuple[list[float], int]] = {}
         self._closed = False
         self._log_path = f"{self.path}/log"
-        self._seq = (self._stored().agg(F.max("seq")).first()[0] or 0) if self._exists(self._log_path) else 0
-        if self._exists(f"{self.path}/refs"):
-            self._refs = {r["name"]: r["seq"] for r in spark.read.json(f"{self.path}/refs").groupBy("name").agg(F.max_by("seq", "made").alias("seq")).collect() if r["seq"] >= 0}
+        self._open_bases: weakref.WeakSet = weakref.WeakSet()
+        base = self._newest("base")
+        self._base, self._upto, self._postings_path = (base["folder"], base["upto"], base["postings"]) if base else ("", 0, f"{self.path}/postings")
+        refs = self._lines("refs")
+        self._refs: dict[str, int] = {}
+        for r in sorted(refs, key=lambda r: r["made"]):
+            self._refs[r["name"]] = r["seq"]
+        self._refs = {n: q for n, q in self._refs.items() if q >= 0}
+        self._seq = max(self._upto, self._greatest(self._log_path), self._greatest(f"{self.path}/vectors"))
+        indexed = self._greatest(self._postings_path)
+        if self._has_log() and self._stored().where(F.col("seq") > indexed).where("op = 'put'").limit(1).count():
+            self._index(self._stored().where(F.col("seq") > indexed))  # a failure came between a record and its postings
 
     def _exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def _stored(self) -> DataFrame:
-        return logs.read(self.spark, self._log_path)
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _greatest(self, path: str) -> int:
+        return (self.spark.read.parquet(path).agg(F.max("seq")).first()[0] or 0) if self._exists(path) else 0
+
+    # small facts, a line of JSON each; the last of a kind counts
+    def _lines(self, kind: str) -> list[dict]:
+        path = f"{self.path}/{kind}"
+        return [json.loads(r["value"]) for r in self.spark.read.text(path).collect()] if self._exists(path) else []
+
+    def _newest(self, kind: str) -> dict | None:
+        return max(self._lines(kind), key=lambda r: r["made"], default=None)
+
+    def _note(self, kind: str, **facts) -> None:
+        line = self.spark.createDataFrame([(json.dumps({**facts, "made": time.time_ns()}),)], "value string")
+        line.write.mode("append").text(f"{self.path}/{kind}")
 
-    def log(self) -> DataFrame:
-        """Everything written so far."""
+    def _has_log(self) -> bool:
+        return bool(self._base) or self._exists(self._log_path)
+
+    def _stored(self) -> DataFrame:
+        """Flushed records of all namespaces. What a compaction has taken over is not read from the log again."""
+        parts = []
+        if self._exists(self._log_path):
+            parts.append(logs.read(self.spark, self._log_path).where(F.col("seq") > self._upto))
+        if self._base:
+            parts.append(logs.read(self.spark, self._base))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def all_records(self) -> DataFrame:
+        """The log of all namespaces."""
         pending = self.spark.createDataFrame(self._pending, logs.SCHEMA)
-        return self._stored().unionByName(pending) if self._exists(self._log_path) else pending
+        return self._stored().unionByName(pending) if self._has_log() else pending
 
-    def state(self) -> DataFrame:
-        return state.live(self.log())
+    def log(self, namespace: str = "") -> DataFrame:
+        """Everything written so far in a namespace."""
+        return self.all_records().where(F.col("namespace") == namespace)
+
+    def state(self, namespace: str = "") -> DataFrame:
+        return state.live(self.log(namespace))
+
+    def postings(self, namespace: str = "") -> DataFrame:
+        """Postings of what is there: those stored and those of the buffer."""
+        new = self.spark.createDataFrame([r for r in self._pending if r[0] == namespace and r[3] == "put"], logs.SCHEMA)
+        found = keyword.index(new, "seq")
+        if self._exists(self._postings_path):
+            old = self.spark.read.parquet(self._postings_path).where(F.col("namespace") == namespace)
+            found = found.unionByName(old.select(*found.columns))
+        return found.join(state.heads(self.log(namespace)), ["key", "seq"], "left_semi")
 
-    def _write(self, rows: list[tuple[str, str | None, str]]) -> None:
+    def _index(self, records: DataFrame) -> None:
+        keyword.store(keyword.index(records.where("op = 'put'"), "namespace", "seq"), self._postings_path)
+
+    def _write(self, rows: list[tuple[str, str | None, str]], namespace: str = "") -> None:
         for key, value, op in rows:
             self._seq += 1
-            self._pending.append(("", key, value, op, self._seq))
+            self._pending.append((namespace, key, value, op, self._seq))
         if len(self._pending) >= FLUSH_ROWS:
             self.flush()
 
+    def _write_table(self, rows: DataFrame, namespace: str = "") -> int:
+        """Appends a table (key, value, op) of any size to the log; of rows with one key the last wins. Returns the number of rows."""
+        self.flush()
+        before = self._seq
+        numbered = rows.select("key", "value", "op", (F.monotonically_increasing_id() + F.lit(before + 1)).alias("seq"))
+        logs.append(numbered.select(F.lit(namespace).alias("namespace"), "key", "value", "op", "seq"), self._log_path)
+        new = logs.read(self.spark, self._log_path).where(F.col("seq") > before)
+        told = new.agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq")).first()
+        if told["n"]:
+            self._seq = told["seq"]
+            self._index(new)
+        return told["n"]
+
     def flush(self) -> None:
         if self._pending:
-            logs.append(self.spark.createDataFrame(self._pending, logs.SCHEMA), self._log_path)
+            rows = self.spark.createDataFrame(self._pending, logs.SCHEMA)
+            logs.append(rows, self._log_path)
+            self._index(rows)
             self._pending = []
         if self._edges:
             self.spark.createDataFrame(self._edges, "src string, dst string, relation string").write.mode("append").parquet(f"{self.path}/edges")
             self._edges = []
         if self._vectors:
-            rows = [(k, v, self._seq + i) for i, (k, v) in enumerate(self._vectors.items())]
+            rows = [(k, v, seq) for k, (v, seq) in self._vectors.items()]
             self.spark.createDataFrame(rows, "key string, vector array<double>, seq long").write.mode("append").parquet(f"{self.path}/vectors")
             self._vectors = {}
 
@@ -106,11 +179,9 @@ class DB:
     put_batch = load
 
     def load_table(self, table: DataFrame) -> None:
-        """Records from a DataFrame (key, value), however large, as one append to the log."""
-        self.flush()
-        self._seq += 1
-        rows = table.select(F.lit("").alias("namespace"), "key", "value", F.lit("put").alias("op"), F.lit(self._seq).cast("long").alias("seq"))
-        logs.append(rows, self._log_path)
+        """Records from a DataFrame (key, value), however large, as one append to the log. Of rows with one key
+        the last in the order of the table wins."""
+        self._write_table(table.select("key", "value", F.lit("put").alias("op")))
 
     def get(self, key: str) -> str | None:
         row = state.get(self.state(), key).first()
@@ -124,9 +195,7 @@ class DB:
         self._write([(key, None, "del")])
 
     def delete_range(self, start: str, end: str) -> int:
-        rows = [(r["key"], None, "del") for r in state.scan(self.state(), start, end).collect()]
-        self._write(rows)
-        return len(rows)
+        return self._write_table(state.tombstones(self.state(), start, end, 0))
 
     def scan(self, prefix: str = "", limit: int = 100) -> list[tuple[str, str]]:
         return [tuple(r) for r in state.scan_prefix(self.state(), prefix, limit).collect()]
@@ -145,7 +214,8 @@ class DB:
 
     # indexes
     def index(self, key: str, vector_: list[float]) -> None:
-        self._vectors[key] = [float(x) for x in vector_]
+        self._seq += 1
+        self._vectors[key] = ([float(x) for x in vector_], self._seq)
 
     def add_edge(self, src: str, relation: str, dst: str) -> None:
         if relation in graph.RELATIONS:
@@ -155,15 +225,41 @@ class DB:
         new = self.spark.createDataFrame(self._edges, "src string, dst string, relation string")
         return self.spark.read.parquet(f"{self.path}/edges").unionByName(new) if self._exists(f"{self.path}/edges") else new
 
-    def vectors(self) -> DataFrame:
-        rows = [(k, v, 1 << 62) for k, v in self._vectors.items()]
+    def has_node(self, key: str) -> bool:
+        return graph.has_node(self.edges(), self.spark.createDataFrame([(key,)], "key string")).first()["found"]
+
+    def _vector_rows(self) -> DataFrame:
+        """key, vector, seq of the last vector of each key."""
+        rows = [(k, v, seq) for k, (v, seq) in self._vectors.items()]
         found = self.spark.createDataFrame(rows, "key string, vector array<double>, seq long")
         if self._exists(f"{self.path}/vectors"):
             found = self.spark.read.parquet(f"{self.path}/vectors").unionByName(found)
-        return found.groupBy("key").agg(F.max_by("vector", "seq").alias("vector"))
+        return found.groupBy("key").agg(F.max_by("vector", "seq").alias("vector"), F.max("seq").alias("seq"))
+
+    def vectors(self) -> DataFrame:
+        return self._vector_rows().select("key", "vector")
+
+    def build_vector_index(self, cells: int = 16) -> None:
+        """Stores every vector with its cell; :meth:`search_vector` with ``ef`` reads the nearest cells of it."""
+        self.flush()
+        rows, folder = self.vectors(), f"{self.path}/cells-{time.time_ns()}"
+        centres = vector.train_cells(rows, cells)
+        vector.assign_cells(rows, centres).write.partitionBy("cell").parquet(folder)
+        self._note("vector-index", folder=folder, seq=self._seq, centres=centres.tolist())
+
+    def _near_vectors(self, v: list[float], ef: int) -> DataFrame:
+        """Vectors of the ``ef`` nearest cells, and those written since the index was built."""
+        index, rows = self._newest("vector-index"), self._vector_rows()
+        if index is None:
+            return rows.select("key", "vector")
+        centres = np.array(index["centres"])
+        near = np.argsort(-(centres @ np.asarray(v, float)))[:ef].tolist() if len(v) == centres.shape[1] else []
+        later = rows.where(F.col("seq") > index["seq"]).select("key", "vector")
+        held = self.spark.read.parquet(index["folder"]).where(F.col("cell").isin(near)).select("key", "vector")
+        return held.join(later.select("key"), "key", "left_anti").unionByName(later)
 
     def _indexes(self) -> planner.Indexes:
-        return planner.Indexes(self.state(), self.vectors(), self.edges())
+        return planner.Indexes(self.state(), self.vectors(), self.edges(), self.postings())
 
     def query(self, spec: planner.QuerySpec) -> list[Document]:
         return _documents(planner.search_documents(self._indexes(), spec))
@@ -176,24 +272,21 @@ class DB:
     def search_fuzzy(self, text: str, limit: int = 5) -> list[Document]:
         return _documents(fuzzy.search_documents(self.state(), text, limit))
 
-    def search_vector(self, v: list[float], limit: int = 10) -> list[Document]:
-        hits = vector.search(self.vectors(), v, limit)
+    def search_vector(self, v: list[float], limit: int = 10, ef: int | None = None) -> list[Document]:
+        """The nearest vectors: of all, or with ``ef`` of so many cells of the stored index."""
+        hits = vector.search(self.vectors() if ef is None else self._near_vectors(v, ef), v, limit)
         return _documents(hits.join(self.state(), "key", "left").select("key", "value", "score", "rank"))
 
     def search_graph(self, start: str, relation: str = "calls", depth: int = 3, limit: int = 20) -> list[Document]:
         return self.query(planner.QuerySpec(text=start, relations=[relation], max_depth=depth, top_k=limit))
 
     # snapshots
-    def _ref(self, name: str, seq: int) -> None:
-        line = self.spark.createDataFrame([(json.dumps({"name": name, "seq": seq, "made": time.time_ns()}),)], "value string")
-        line.write.mode("append").text(f"{self.path}/refs")
-
     def snapshot(self, name: str = "") -> str:
         n = len(self._refs) + 1
         while not name or (name.startswith("snap-") and name in self._refs):
             name, n = f"snap-{n:04d}", n + 1
         self._refs[name] = self._seq
-        self._ref(name, self._seq)
+        self._note("refs", name=name, seq=self._seq)
         return name
 
     def snapshots(self) -> list[str]:
@@ -202,7 +295,7 @@ class DB:
     def snapshot_delete(self, name: str) -> bool:
         if self._refs.pop(name, None) is None:
             return False
-        self._ref(name, -1)
+        self._note("refs", name=name, seq=-1)
         return True
 
     def read_snapshot(self, name: str) -> DataFrame:
@@ -213,26 +306,79 @@ class DB:
     def restore(self, name: str) -> None:
         if name not in self._refs:
             raise KeyError(f"no snapshot {name!r}")
-        rows = versions.restore_records(self.log(), self._refs[name], 0).collect()
-        self._write([(r["key"], r["value"], r["op"]) for r in rows])
+        self._write_table(versions.restore_records(self.log(), self._refs[name], 0))
+
+    # namespaces
+    def create_namespace(self, name: str) -> Namespace:
+        """Registers a namespace; one that is there stays as it is."""
+        if name not in self.namespaces():
+            self._note("namespaces", name=name, here=True)
+        return Namespace(self, name)
+
+    def namespace(self, name: str) -> Namespace:
+        if name not in self.namespaces():
+            raise KeyError(f"no namespace {name!r}")
+        return Namespace(self, name)
+
+    def namespaces(self) -> list[str]:
+        here = {}
+        for r in sorted(self._lines("namespaces"), key=lambda r: r["made"]):
+            here[r["name"]] = r["here"]
+        return sorted(n for n, h in here.items() if h)
+
+    def delete_namespace(self, name: str) -> int:
+        """Deletes its records and returns their number."""
+        gone = self._write_table(self.state(name).select("key", F.lit(None).cast("string").alias("value"), F.lit("del").alias("op")), name)
+        self._note("namespaces", name=name, here=False)
+        return gone
+
+    def agent(self, name: str, mode: str = "delta", source: str = "") -> Agent:
+        """A branch of the live state, or of a named snapshot. A branch of that name that was saved goes on."""
+        if source and source not in self._refs:
+            raise KeyError(f"no snapshot {source!r}")
+        saved = self._saved_branches().get(name) if not source else None
+        if saved:
+            return Agent(self, name, saved["mode"], saved["base"], [tuple(r) for r in saved["delta"]])
+        return Agent(self, name, mode, self._refs[source] if source else None)
+
+    def _saved_branches(self) -> dict[str, dict]:
+        found = {}
+        for r in sorted(self._lines("branches"), key=lambda r: r["made"]):
+            found[r["name"]] = r
+        return {n: r for n, r in found.items() if r["open"]}
 
-    def agent(self, name: str, mode: str = "delta") -> Agent:
-        return Agent(self, name, mode)
+    def branches(self) -> list[str]:
+        """Names of saved branches."""
+        return sorted(self._saved_branches())
 
     def begin(self, isolation: str = "snapshot") -> Transaction:
         return Transaction(self, isolation)
 
+    _BESIDE = {"edges": "parquet", "vectors": "parquet", "refs": "text", "namespaces": "text", "branches": "text"}
+
     def backup(self, path: str) -> None:
-        """Everything written so far, as one table."""
+        """Everything written so far: records, edges, vectors, snapshots, namespaces and saved branches."""
         self.flush()
-        logs.backup(self._stored(), path)
+        path = path.rstrip("/")
+        for kind, form in self._BESIDE.items():
+            if self._exists(f"{self.path}/{kind}"):
+                self.spark.read.format(form).load(f"{self.path}/{kind}").write.mode("errorifexists").format(form).save(f"{path}/{kind}")
+        logs.backup(self.all_records(), f"{path}/log")
 
     def restore_backup(self, path: str) -> None:
         """Fills an empty database from a backup."""
         if self._seq:
             raise RuntimeError("only an empty database can be filled from a backup")
-        logs.append(logs.restore(self.spark, path), self._log_path)
-        self._seq = self._stored().agg(F.max("seq")).first()[0] or 0
+        path = path.rstrip("/")
+        for kind, form in self._BESIDE.items():
+            if self._exists(f"{path}/{kind}"):
+                self.spark.read.format(form).load(f"{path}/{kind}").write.mode("append").format(form).save(f"{self.path}/{kind}")
+        logs.append(logs.restore(self.spark, f"{path}/log"), self._log_path)
+        self.__init__(self.spark, self.path)
+
+    def skipped_files(self) -> list[str]:
+        """Files of the log that are damaged and so not read."""
+        return [r["path"] for r in logs.skipped(self.spark, self._log_path).collect()] if self._exists(self._log_path) else []
 
     def watch(self, pattern: str, deliver, checkpoint: str, credit: int | None = None, once: bool = False):
         """Delivers records whose key starts with ``pattern`` as they are flushed."""
@@ -243,16 +389,26 @@ class DB:
         return {"records": row["records"] or 0, "tombstones": row["tombstones"] or 0, "bytes": row["bytes"] or 0, "snapshots": len(self._refs), "graph_edges": self.edges().count(), "index_vectors": self.vectors().count()}
 
     def compact(self, drop_tombstones: bool = True) -> None:
-        """Rewrites the log with the last record of each key. Snapshots older than now lose their history."""
+        """Moves the log to a new base that keeps the last record of each key, and those that a snapshot, an open
+        or saved branch or an open transaction still reads."""
         self.flush()
-        merged = state.compact([self._stored()], drop_tombstones).withColumn("namespace", F.lit(""))
-        logs.append(merged.select("namespace", "key", "value", "op", "seq"), f"{self._log_path}-new")
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        old, new = jvm.org.apache.hadoop.fs.Path(self._log_path), jvm.org.apache.hadoop.fs.Path(f"{self._log_path}-new")
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
-        self._refs = {}
+        if not self._has_log():
+            return
+        kept = [*self._refs.values(), *[r["base"] for r in self._saved_branches().values()], *[x.since for x in self._open_bases if x.alive()]]
+        mark, upto = time.time_ns(), self._seq
+        base, postings = f"{self.path}/base-{mark}", f"{self.path}/postings-{mark}"
+        rows = state.compact_history(self._stored(), [q for q in kept if q < upto], drop_tombstones)
+        logs.append(rows.select("namespace", "key", "value", "op", "seq"), base)
+        if self._exists(self._postings_path):
+            held = logs.read(self.spark, base).where("op = 'put'").select("namespace", "key", "seq")
+            keyword.store(self.spark.read.parquet(self._postings_path).join(held, ["namespace", "key", "seq"], "left_semi"), postings)
+        old = (self._base, self._postings_path)
+        self._note("base", folder=base, upto=upto, postings=postings)
+        self._base, self._upto, self._postings_path = base, upto, postings
+        # what stays behind if this is interrupted is not read
+        for x in (self._log_path, *old):
+            if x:
+                self._delete(x)
 
     def close(self) -> None:
         if not self._closed:
@@ -273,9 +429,24 @@ class Agent:
     """A branch: reads see its own writes over the state at its start; searches see the main line.
     Leaving the ``with`` block merges it, an exception discards it."""
 
-    def __init__(self, db: DB, name: str, mode: str = "delta"):
+    def __init__(self, db: DB, name: str, mode: str = "delta", base: int | None = None, delta: list[tuple] | None = None):
         self.db, self.name, self.mode = db, name, mode
-        self.base, self._delta, self._done = db._seq, [], False
+        self.base, self._delta, self._done = db._seq if base is None else base, list(delta or []), False
+        self.since, self._marks = self.base, {}
+        db._open_bases.add(self)
+
+    def alive(self) -> bool:
+        return not self._done
+
+    def save(self) -> None:
+        """Stores the branch, so that ``db.agent`` of its name goes on with it later."""
+        self._open()
+        self.db._note("branches", name=self.name, base=self.base, mode=self.mode, delta=self._delta, open=True)
+
+    def _finish(self) -> None:
+        self._done = True
+        if self.name in self.db._saved_branches():
+            self.db._note("branches", name=self.name, base=self.base, mode=self.mode, delta=[], open=False)
 
     def _open(self) -> None:
         if self._done:
@@ -328,27 +499,41 @@ class Agent:
     def search_graph(self, start: str, relation: str = "calls", depth: int = 3, limit: int = 20) -> list[Document]:
         return self.db.search_graph(start, relation, depth, limit)
 
-    def checkpoint(self, name: str = "") -> list[tuple]:
-        """The branch's records so far, to go back to with :meth:`rollback_to`."""
-        return list(self._delta)
+    def checkpoint(self, name: str = "") -> str:
+        """Names the branch's records so far, to go back to with :meth:`rollback_to`."""
+        self._open()
+        name = name or f"checkpoint-{len(self._marks) + 1:04d}"
+        self._marks[name] = len(self._delta)
+        return name
 
-    def rollback_to(self, mark: list[tuple]) -> None:
+    def checkpoints(self) -> list[str]:
+        return sorted(self._marks)
+
+    def rollback_to(self, name: str) -> None:
+        """Forgets what came after a checkpoint, and later checkpoints."""
         self._open()
-        self._delta = list(mark)
+        if name not in self._marks:
+            raise KeyError(f"no checkpoint {name!r}")
+        self._delta = self._delta[: self._marks[name]]
+        self._marks = {n: size for n, size in self._marks.items() if size <= len(self._delta)}
 
     def commit(self) -> int:
         """Merges and returns the number of records written. ``delta`` writes what the agent changed, deletes
         too; ``overlay`` writes every pair the branch sees."""
         self._open()
-        rows = self._delta if self.mode == "delta" else [(r["key"], r["value"], "put") for r in self.state().collect()]
-        self.db._write(rows)
-        self._done = True
-        return len(rows)
+        if self.mode == "delta":
+            self.db._write(self._delta)
+            written = len(self._delta)
+        else:
+            written = self.db._write_table(self.state().select("key", "value", F.lit("put").alias("op")))
+        self._finish()
+        return written
 
     merge_to_main = commit
 
     def discard(self) -> None:
-        self._delta, self._done = [], True
+        self._delta = []
+        self._finish()
 
     def __enter__(self) -> Agent:
         return self
@@ -361,6 +546,46 @@ class Agent:
         return f"Agent({self.name!r})"
 
 
+class Namespace:
+    """The records of one namespace: keys of different namespaces never meet."""
+
+    def __init__(self, db: DB, name: str):
+        self.db, self.name = db, name
+
+    def put(self, key: str, value: str) -> None:
+        self.db._write([(key, value, "put")], self.name)
+
+    def load(self, pairs) -> int:
+        rows = [(k, v, "put") for k, v in (pairs.items() if isinstance(pairs, dict) else pairs)]
+        self.db._write(rows, self.name)
+        return len(rows)
+
+    def delete(self, key: str) -> None:
+        self.db._write([(key, None, "del")], self.name)
+
+    def get(self, key: str) -> str | None:
+        row = state.get(self.db.state(self.name), key).first()
+        return row["value"] if row else None
+
+    def scan(self, prefix: str = "", limit: int = 100) -> list[tuple[str, str]]:
+        return [tuple(r) for r in state.scan_prefix(self.db.state(self.name), prefix, limit).collect()]
+
+    def search(self, text: str, limit: int = 10) -> list[Document]:
+        indexes = planner.Indexes(self.db.state(self.name), postings=self.db.postings(self.name))
+        return _documents(planner.search_documents(indexes, planner.QuerySpec(text=text, top_k=limit)))
+
+    def stat(self) -> dict:
+        named = self.db.state(self.name).withColumn("namespace", F.lit(self.name))
+        row = namespaces.statistics(named).first()
+        return {"name": self.name, "records": row["n_records"] if row else 0, "bytes": row["bytes"] if row else 0}
+
+    def __contains__(self, key: str) -> bool:
+        return self.get(key) is not None
+
+    def __repr__(self) -> str:
+        return f"Namespace({self.name!r})"
+
+
 class ConflictError(RuntimeError):
     pass
 
@@ -372,9 +597,14 @@ class Transaction:
     def __init__(self, db: DB, isolation: str = "snapshot"):
         self.db, self.isolation = db, isolation
         self.begin_seq, self.status = db._seq, "active"
+        self.since = self.begin_seq
+        db._open_bases.add(self)
         self._buffer: list[tuple[str, str | None, str]] = []
         self._read: set[str] = set()
 
+    def alive(self) -> bool:
+        return self.status == "active"
+
     def _open(self) -> None:
         if self.status != "active":
             raise RuntimeError(f"the transaction is {self.status}")
@@ -565,14 +795,18 @@ class Client:
     def context(self) -> ContextEngine:
         return ContextEngine(self.db)
 
-    def branch(self, name: str) -> Agent:
-        return self.agent(name)
+    def branch(self, name: str, source: str = "") -> Agent:
+        """A new branch of the live state or of a named snapshot; one of that name is replaced."""
+        self._agents[name] = self.db.agent(name, source=source)
+        return self._agents[name]
 
     def agent(self, name: str) -> Agent:
-        return self._agents.setdefault(name, self.db.agent(name))
+        if name not in self._agents or self._agents[name]._done:
+            self._agents[name] = self.db.agent(name)
+        return self._agents[name]
 
     def branches(self) -> list[str]:
-        return sorted(n for n, a in self._agents.items() if not a._done)
+        return sorted({n for n, a in self._agents.items() if not a._done} | set(self.db.branches()))
 
     def stats(self) -> dict:
         return self.db.stats()

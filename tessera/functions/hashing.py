@@ -14,9 +14,12 @@ MASK = 0xFFFFFFFF
 
 
 def fnv1a_hex(data: Column) -> Column:
-    """FNV-1a 64 of the bytes of a string or binary column, as 16 hexadecimal digits. Two 32-bit halves
-    keep every product within a BIGINT."""
-    data = F.encode(data, "UTF-8")
+    """FNV-1a 64 of the bytes of a string column, as 16 hexadecimal digits."""
+    return fnv1a_of_bytes(F.encode(data, "UTF-8"))
+
+
+def fnv1a_of_bytes(data: Column) -> Column:
+    """FNV-1a 64 of a binary column. Two 32-bit halves keep every product within a BIGINT."""
     octets = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(data), F.lit(1))), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
     octets = F.when(F.octet_length(data) > 0, octets).otherwise(F.array().cast("array<bigint>"))
 
@@ -35,6 +38,11 @@ def namespace_id(repository: Column, commit: Column) -> Column:
     return fnv1a_hex(F.concat(repository, F.lit("::"), commit))
 
 
+def record_key(namespace: Column, kind: Column, name: Column) -> Column:
+    """FNV-1a 64 of a namespace's identifier (16 hexadecimal digits, as 8 bytes, the high ones first), kind and name."""
+    return fnv1a_of_bytes(F.concat(F.unhex(namespace), F.encode(F.concat(F.lit("::"), kind, F.lit("::"), name), "UTF-8")))
+
+
 @dataclass(frozen=True)
 class BloomSize:
     bits: int

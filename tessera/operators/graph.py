@@ -79,6 +79,13 @@ def dfs(edges: DataFrame, start: str, direction: str = "forward", max_depth: int
     return order
 
 
+def has_node(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, found for ``wanted`` keys: whether an edge begins or ends there."""
+    nodes = edges.select(F.col("src").alias("key")).unionByName(edges.select(F.col("dst").alias("key")))
+    held = nodes.join(wanted, "key", "left_semi").distinct().withColumn("found", F.lit(True))
+    return wanted.join(held, "key", "left").select("key", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def counts(edges: DataFrame) -> DataFrame:
     nodes = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).agg(F.count_distinct("src").alias("node_count"))
     return edges.agg(F.count(F.lit(1)).alias("edge_count")).join(F.broadcast(nodes)).select("node_count", "edge_count")  # one row each

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .state import compact, live
 
 SCHEMA = "key string, value string, op string, seq long"
-#: Level-0 runs that make a merge due, and bytes of level 1 from which it goes down to level 2.
-RUNS, LEVEL_1_BYTES = 4, 64 * 1024
+#: Level-0 runs that make a merge due. Level 1 goes down to level 2 from so many bytes, and from this share of
+#: level 2: a merge rewrites level 2, so its cost has to be spread over as much new data.
+RUNS, LEVEL_1_BYTES, LEVEL_1_SHARE = 4, 64 * 1024, 0.1
 
 
 class Levels:
@@ -48,7 +49,8 @@ class Levels:
         if force or len(self.folders(0)) >= self.runs:
             self._down([*self.folders(0), *self.folders(1)], 1, False)
         below = self.folders(1)
-        if below and (force or sum(self._fs.getContentSummary(self._path(x)).getLength() for x in below) > self.level_1_bytes):
+        size = lambda level: sum(self._fs.getContentSummary(self._path(x)).getLength() for x in self.folders(level))
+        if below and (force or size(1) > max(self.level_1_bytes, LEVEL_1_SHARE * size(2))):
             self._down([*below, *self.folders(2)], 2, not self.folders(0))
 
     def _down(self, folders: list[str], level: int, drop_tombstones: bool) -> None:

@@ -25,6 +25,12 @@ def scan(state: DataFrame, namespace: str) -> DataFrame:
     return state.where(F.col("namespace") == namespace)
 
 
+def statistics(state: DataFrame) -> DataFrame:
+    """namespace, n_records, bytes of keys and values."""
+    size = F.octet_length("key") + F.octet_length(F.coalesce("value", F.lit("")))
+    return state.groupBy("namespace").agg(F.count(F.lit(1)).alias("n_records"), F.sum(size).cast("long").alias("bytes"))
+
+
 def counts(state: DataFrame) -> DataFrame:
     return state.groupBy("namespace").agg(F.count(F.lit(1)).alias("n_records"))
 

@@ -17,7 +17,9 @@ def validate(records: DataFrame, thread: str = "thread_id", position: str = "pos
 
 
 def load(records: DataFrame, session: str) -> DataFrame:
-    return records.where(F.col("session_id") == session).orderBy("step")
+    """A session's records by step, those of one step by ``pos`` where there is one."""
+    order = ["step", "pos"] if "pos" in records.columns else ["step"]
+    return records.where(F.col("session_id") == session).orderBy(*order)
 
 
 def append(records: DataFrame, more: DataFrame) -> DataFrame:
@@ -37,8 +39,9 @@ def by_type(records: DataFrame, session: str, kind: str) -> DataFrame:
 
 
 def recent(records: DataFrame, n: int) -> DataFrame:
-    """The last n records of every session."""
-    last = Window.partitionBy("session_id").orderBy(F.col("step").desc())
+    """The last n records of every session, by step and, where there is one, ``pos``."""
+    order = [F.col(c).desc() for c in ("step", "pos") if c in records.columns]
+    last = Window.partitionBy("session_id").orderBy(*order)
     return records.withColumn("n", F.row_number().over(last)).where(F.col("n") <= n).drop("n")
 
 

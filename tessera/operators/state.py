@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,25 @@ def compact(runs: list[DataFrame], drop_tombstones: bool = False) -> DataFrame:
     return merged.where("op = 'put'") if drop_tombstones else merged
 
 
+def compact_history(log: DataFrame, kept: list[int], drop_tombstones: bool = True) -> DataFrame:
+    """What a log (with ``namespace``) must keep so that its state now and at each seq of ``kept`` stays as it is:
+    of each key the last record up to each of them and the last of all. A tombstone that hides no kept record goes."""
+    bounds = sorted(set(kept))
+    era = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("seq"))) if bounds else F.lit(0)
+    last = F.max_by(F.struct("value", "op"), F.col("seq"))
+    rows = log.groupBy("namespace", "key", era.alias("era")).agg(last.alias("r"), F.max("seq").alias("seq")).select("namespace", "key", "r.value", "r.op", "seq")
+    if not drop_tombstones:
+        return rows
+    so_far = Window.partitionBy("namespace", "key").orderBy("seq")
+    return rows.withColumn("puts", F.count_if(F.col("op") == "put").over(so_far)).where("puts > 0").drop("puts")
+
+
+def heads(log: DataFrame) -> DataFrame:
+    """key, seq of what is there; values are not read."""
+    last = log.groupBy("key").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq"))
+    return last.where("op = 'put'").select("key", "seq")
+
+
 def statistics(log: DataFrame) -> DataFrame:
     s = latest(log)
     return s.agg(

@@ -38,6 +38,44 @@ def committed_since(versions: DataFrame, read_set: DataFrame, begin: int) -> Dat
     return read_set.join(versions.where(F.col("commit_ts") > begin).select("key").distinct(), "key", "left_semi").select("key")
 
 
+def write_intents(versions: DataFrame, writes: DataFrame, txn: str) -> DataFrame:
+    """Versions (with ``txn``) and the uncommitted ``writes`` (key, value) of a transaction."""
+    own = writes.select("key", "value", F.lit(None).cast("long").alias("commit_ts"), F.lit(txn).alias("txn"))
+    return versions.unionByName(own)
+
+
+def _own_intents(versions: DataFrame, wanted: DataFrame, txn: str) -> DataFrame:
+    mark = wanted.select("key").distinct().withColumn("asked", F.lit(True))
+    return versions.join(mark, "key", "left").withColumn("own", F.col("asked").isNotNull() & F.col("commit_ts").isNull() & F.col("txn").eqNullSafe(F.lit(txn)))
+
+
+def commit_keys(versions: DataFrame, wanted: DataFrame, txn: str, commit_ts: int) -> DataFrame:
+    """The transaction's intents on ``wanted`` keys become versions of ``commit_ts``."""
+    stamped = F.when(F.col("own"), F.lit(commit_ts).cast("long")).otherwise(F.col("commit_ts"))
+    return _own_intents(versions, wanted, txn).select("key", "value", stamped.alias("commit_ts"), "txn")
+
+
+def abort_keys(versions: DataFrame, wanted: DataFrame, txn: str) -> DataFrame:
+    """The transaction's intents on ``wanted`` keys go."""
+    return _own_intents(versions, wanted, txn).where(~F.col("own")).select("key", "value", "commit_ts", "txn")
+
+
+def version_counts(versions: DataFrame) -> DataFrame:
+    """key, n_versions, n_intents."""
+    return versions.groupBy("key").agg(F.count(F.lit(1)).alias("n_versions"), F.count_if(F.col("commit_ts").isNull()).alias("n_intents"))
+
+
+def read(versions: DataFrame, wanted: DataFrame, isolation: str, begin: int, txn: str) -> DataFrame:
+    """key, value for ``wanted`` keys as a transaction sees them: its own intents first, then the newest committed
+    version (read_committed) or the newest up to ``begin`` (snapshot, serializable); null if there is none."""
+    if isolation not in ("read_committed", "snapshot", "serializable"):
+        raise ValueError(f"unknown isolation {isolation!r}")
+    rows = versions.join(wanted.select("key").distinct(), "key", "left_semi")
+    own = rows.where(F.col("commit_ts").isNull() & F.col("txn").eqNullSafe(F.lit(txn))).groupBy("key").agg(F.max("value").alias("own"))
+    done = visible(rows, None if isolation == "read_committed" else begin).select("key", F.col("value").alias("done"))
+    return wanted.join(own, "key", "left").join(done, "key", "left").select("key", F.coalesce("own", "done").alias("value"))
+
+
 def collect_garbage(versions: DataFrame, oldest: int) -> DataFrame:
     """Versions that stay: of each key the newest, those not older than ``oldest``, and the first older one.
     Intents (null commit_ts) stay as they are."""

@@ -14,9 +14,16 @@ def append(log: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
+    """Records of whole files; :func:`skipped` names the others."""
     return spark.read.schema(SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
 
 
+def skipped(spark: SparkSession, path: str) -> DataFrame:
+    """path, length of the log's files that :func:`read` passes over because they are no whole Parquet files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.where(F.expr("coalesce(substring(content, -4, 4) <> encode('PAR1', 'UTF-8'), true)")).select("path", "length")
+
+
 def record_crc(key: Column, value: Column) -> Column:
     return F.crc32(F.encode(F.concat(key, F.lit("\n"), F.coalesce(value, F.lit(""))), "UTF-8"))
 

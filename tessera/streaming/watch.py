@@ -30,12 +30,29 @@ def replay(log: DataFrame, watch: Watch, after: int = 0) -> DataFrame:
     return rows.offset(after) if after else rows
 
 
+def deliveries(df: DataFrame, credit: int | None):
+    """``df`` in parts of up to ``credit`` rows by seq; together they are all of it."""
+    if credit is None:
+        yield df
+        return
+    if credit < 1:
+        raise ValueError("the credit must be a positive number of rows")
+    rows = df.orderBy("seq").persist()
+    try:
+        for lo in range(0, rows.count(), credit):
+            yield rows.orderBy("seq").offset(lo).limit(credit)
+    finally:
+        rows.unpersist()
+
+
 def start(spark: SparkSession, path: str, watch: Watch, deliver: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, files: int = 1000):
     """Delivers matching records of new log files to ``deliver`` batch by batch. The checkpoint holds what
-    has been read, so a restarted watch goes on where it stopped. The credit bounds the rows of a batch."""
+    has been read, so a restarted watch goes on where it stopped. The credit bounds the rows of one delivery:
+    a batch of more comes in several, all with its number. Stop the query to unwatch."""
 
     def batch(df: DataFrame, number: int) -> None:
-        deliver(df if watch.credit is None else df.orderBy("seq").limit(watch.credit), number)
+        for part in deliveries(df, watch.credit):
+            deliver(part, number)
 
     stream = watch.matches(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(path))
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

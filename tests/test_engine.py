@@ -258,12 +258,20 @@ def test_watch(spark, tmp_path):
     logs.append(frame(spark, [("", f"user/{i % 3}", "v", "put", i) for i in range(30)], logs.SCHEMA), path)
     w = watch.Watch("user/1", credit=5)
     assert [r.seq for r in watch.replay(logs.read(spark, path), w, after=2).collect()] == [7, 10, 13]
-    deliver = lambda df, n: got.extend(r.seq for r in df.collect())
+    sizes = []
+
+    def deliver(df, n):
+        rows = df.collect()
+        sizes.append(len(rows))
+        got.extend(r.seq for r in rows)
+
     for more in (None, [("", "user/1", "new", "put", 100)], None):
         if more:
             logs.append(frame(spark, more, logs.SCHEMA), path)
         watch.start(spark, path, w, deliver, f"{tmp_path}/checkpoint", once=True).awaitTermination()
-    assert got == [1, 4, 7, 10, 13, 100]
+    assert got == [*range(1, 30, 3), 100] and sizes == [5, 5, 1]
+    with pytest.raises(ValueError):
+        list(watch.deliveries(logs.read(spark, path), 0))
 
 
 def test_database(spark, tmp_path):
@@ -360,6 +368,110 @@ def test_agent_store(spark, tmp_path):
         store.load_payload("s1")
 
 
+def test_database_keeps_what_is_read(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    db = DB(spark, path)
+    db.load({"a": "1", "b": "1", "c": "1"})
+    db.snapshot("s")
+    branch, tx = db.agent("held"), db.begin()
+    db.put("a", "2")
+    db.delete("b")
+    db.put("d", "token words")
+    db.delete("d")
+    db.put("d", "other token")
+    db.compact()
+    assert sorted(map(tuple, db.read_snapshot("s").collect())) == [("a", "1"), ("b", "1"), ("c", "1")]
+    assert db.scan() == [("a", "2"), ("c", "1"), ("d", "other token")]
+    assert branch.get("b") == "1" and tx.get("a") == "1" and [d.id for d in db.search("token")] == ["d"] and db.search("words") == []
+    db.put("e", "5")
+    db.flush()
+    again = DB(spark, path)
+    assert again.snapshots() == ["s"] and again.read_snapshot("s").count() == 3 and again.keys() == ["a", "c", "d", "e"]
+    again.compact()
+    again.compact()
+    assert again.read_snapshot("s").count() == 3 and again.get("e") == "5" and [d.id for d in again.search("token")] == ["d"]
+    again.index("a", [1, 0])
+    again.flush()
+    again.index("a", [0, 1])
+    again.index("e", [0.6, 0.8])
+    again.flush()
+    assert {r.key: r.vector for r in DB(spark, path).vectors().collect()} == {"a": [0, 1], "e": [0.6, 0.8]}
+    again.build_vector_index(2)
+    again.index("c", [1.0, 0.1])
+    assert [d.id for d in again.search_vector([1, 0], 3, ef=2)] == [d.id for d in again.search_vector([1, 0], 3)] == ["c", "e", "a"]
+    table = spark.range(40).select(F.lit("many").alias("key"), F.concat(F.lit("v"), "id").alias("value"))
+    again.load_table(table)
+    assert again.get("many") == "v39" and [d.id for d in again.search("v39")] == ["many"] and again.search("v38") == []
+    assert again.delete_range("m", "n") == 1 and "many" not in again and not again.has_node("a")
+    again.add_edge("a", "calls", "c")
+    again.backup(f"file://{tmp_path}/backup")
+    copy = DB(spark, f"file://{tmp_path}/copy")
+    copy.restore_backup(f"file://{tmp_path}/backup")
+    assert copy.scan() == again.scan() and copy.snapshots() == ["s"] and copy.has_node("c") and copy.vectors().count() == 3 and copy.search("token")[0].id == "d"
+
+
+def test_namespaces_and_branches(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    db = DB(spark, path)
+    one, two = db.create_namespace("one"), db.create_namespace("two")
+    db.put("k", "main")
+    one.put("k", "first token")
+    two.load({"k": "second", "l": "token"})
+    assert (db.get("k"), one.get("k"), two.get("k")) == ("main", "first token", "second") and db.namespaces() == ["one", "two"]
+    assert [d.id for d in two.search("token")] == ["l"] and one.stat() == {"name": "one", "records": 1, "bytes": 12} and "l" not in one
+    db.compact()
+    assert two.scan("l") == [("l", "token")] and db.delete_namespace("two") == 2 and two.scan() == [] and db.namespaces() == ["one"]
+    with pytest.raises(KeyError):
+        db.namespace("two")
+    db.snapshot("then")
+    db.put("k", "later")
+    with pytest.raises(KeyError):
+        db.agent("x", source="nowhere")
+    agent = db.agent("x", source="then")
+    assert agent.get("k") == "main"
+    agent.put("n", "1")
+    assert agent.checkpoint("mark") == "mark"
+    agent.put("n", "2")
+    agent.checkpoint()
+    agent.rollback_to("mark")
+    assert agent.get("n") == "1" and agent.checkpoints() == ["mark"]
+    agent.save()
+    db.flush()
+    again = DB(spark, path)
+    assert again.branches() == ["x"]
+    back = again.agent("x")
+    assert back.get("n") == "1" and back.get("k") == "main" and back.commit() == 1 and again.branches() == [] and again.get("n") == "1" and again.get("k") == "later"
+    over = again.agent("y", "overlay", "then")
+    assert over.commit() == 1 and again.get("k") == "main"
+
+
+def test_intents(spark):
+    v = frame(spark, [("k", "v1", 1, None), ("k", "theirs", None, "t2"), ("j", "x", 5, None)], "key string, value string, commit_ts long, txn string")
+    v = transactions.write_intents(v, records(spark, [("k", "mine"), ("n", "new")]), "t1")
+    wanted = frame(spark, [("k",), ("j",), ("n",)], "key string")
+    see = lambda *a: {r.key: r.value for r in transactions.read(v, wanted, *a).collect()}
+    assert see("snapshot", 3, "t1") == {"k": "mine", "j": None, "n": "new"} and see("read_committed", 3, "t9") == {"k": "v1", "j": "x", "n": None}
+    done = transactions.commit_keys(v, frame(spark, [("k",)], "key string"), "t1", 7)
+    assert sorted((r.key, r.value, r.commit_ts) for r in done.where("key = 'k'").collect() if r.commit_ts) == [("k", "mine", 7), ("k", "v1", 1)]
+    assert {r.key: (r.n_versions, r.n_intents) for r in transactions.version_counts(transactions.abort_keys(done, wanted, "t1")).collect()} == {"k": (3, 1), "j": (1, 0)}
+    with pytest.raises(ValueError):
+        transactions.read(v, wanted, "other", 1, "t")
+
+
+def test_damaged_log_files_are_told(spark, tmp_path):
+    db = DB(spark, f"file://{tmp_path}/db")
+    db.load({"a": "1"})
+    db.flush()
+    (tmp_path / "db" / "log" / "part-bad.parquet").write_bytes(b"no parquet")
+    assert db.get("a") == "1" and [x.rsplit("/", 1)[1] for x in db.skipped_files()] == ["part-bad.parquet"]
+
+
+def test_session_records_of_one_step_keep_their_order(spark):
+    r = frame(spark, [("s", 1, i, f"c{i}") for i in range(6)], "session_id string, step long, pos long, content string").repartition(4)
+    assert [x.content for x in sessions.load(r, "s").collect()] == [f"c{i}" for i in range(6)]
+    assert sorted(x.content for x in sessions.recent(r, 2).collect()) == ["c4", "c5"]
+
+
 def test_every_query_has_sql():
     import __spark_entry__ as entry
     from tessera import queries
