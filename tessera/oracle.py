@@ -101,6 +101,18 @@ WRONG = """list_filter([
 SESSIONS = "(select cast(conv_id as varchar) as session_id, turn as step, role as type, text as content from conversations)"
 OWN_BUFFER = f"(select key, arg_max(value, seq) as own, arg_max(op, seq) as op from {LOG} where seq > {at(4)} and seq <= {at(5)} and user_id % 5 = 0 group by key)"
 PUTS = f"(select key, value, seq as commit_ts from {LOG} where op = 'put')"
+INTENTS = f"(select key, case when commit_ts % 11 <> 0 then commit_ts end as commit_ts, 't' || (length(value) % 2) as txn from {PUTS})"
+
+
+def octets(t: str) -> str:
+    return f"list_transform(range(1, length({t}) + 1), lambda i: ascii(substr({t}, i, 1))::hugeint)"
+
+
+def fnv(octets_: str) -> str:
+    return f"list_reduce(list_prepend(14695981039346656037::hugeint, {octets_}), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)"
+
+
+ID_OCTETS = "list_transform(range(0, 8), lambda i: ('0x' || substr(id, 2 * i + 1, 2))::hugeint)"
 WATCHED = f"(select seq, key, value, op from {LOG} where starts_with(key, 'user/0000001') order by seq limit 50)"
 CALLS = f"""(select session_id, cast(step // 2 as varchar) as call_id, step, case when step % 6 < 4 then case when step % 2 = 0 then 'Tool' else 'Res' end else type end as type, md5(content) as content from {SESSIONS})"""
 NODES = "(select 'customer/' || c_custkey as key, c_name || ' ' || c_mktsegment as value from customer)"
@@ -140,6 +152,7 @@ SQL: dict[str, str] = {
     "graph_reachable": f"select key from ({bfs('order/1', 20)})",
     "graph_dfs": f"select key from ({bfs('order/0', 9)})",
     "graph_counts": f"select (select count(*) from (select src from {EDGES} union select dst from {EDGES})) as node_count, (select count(*) from {EDGES}) as edge_count",
+    "graph_has_node": f"select 'region/' || i as key, exists (select 1 from {EDGES} where src = 'region/' || i or dst = 'region/' || i) as found from range(0, 40) t(i)",
     "graph_search_docs": f"select h.key, coalesce(d.value, '') as value, score, rank from {fuse([WALK, bm25(NODES, 'order/0', 40)], 20)} h left join {NODES} d using (key)",
     "symbol_classify": f"with t as (select key, key as text from {SYMBOLS} union all select distinct p_name, p_name from part union all select key, value from {DOCS}) select key, {symbol('text')} as is_symbol from t",
     "query_plan": f"""with q as (select event_id, case when event_id % 4 = 0 then event_type || 'Name' when event_id % 4 = 1 then props end as t, case when event_id % 3 = 0 then event_type end as s, event_id % 5 = 0 as v, event_id % 7 = 0 as r from events)
@@ -153,6 +166,8 @@ SQL: dict[str, str] = {
     "bloom_membership": "select true as none_missed, true as few_false",
     "fnv1a_hash": f"""select key, lower(hex_) as fnv1a from (select key, printf('%016x', h::ubigint) as hex_ from (select key, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::hugeint)), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint) as h from {SYMBOLS}))""",
     "namespace_ids": """select repository, lower(printf('%016x', h::ubigint)) as namespace_id from (select source as repository, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, length(source || '::abc123') + 1), lambda i: ascii(substr(source || '::abc123', i, 1))::hugeint)), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint) as h from (select distinct source from documents))""",
+    "namespace_record_keys": f"with n as (select source, lower(printf('%016x', {fnv(octets("source || '::abc123'"))}::ubigint)) as id from (select distinct source from documents where source is not null)) select key, lower(printf('%016x', {fnv('list_concat(' + ID_OCTETS + ', ' + octets("'::doc::' || key") + ')')}::ubigint)) as record_key from {DOCS} join n using (source)",
+    "namespace_stats": f"select source as namespace, count(*) as n_records, sum(strlen(key) + strlen(coalesce(value, '')))::bigint as bytes from {DOCS} group by source",
     "namespace_scan": f"select key, md5(value) as value_md5 from {DOCS} where source = 'src1'",
     "namespace_counts": f"select source as namespace, count(*) as n_records from {DOCS} group by source",
     "namespace_delete": f"select source as namespace, count(*) as n_records from {DOCS} where source <> 'src1' group by source",
@@ -168,6 +183,7 @@ SQL: dict[str, str] = {
     "db_stats": f"with l as (select key, arg_max(value, seq) as value, arg_max(op, seq) as op, max(seq) as seq from {LOG} group by key) select count(*) filter (op = 'put') as records, count(*) filter (op = 'del') as tombstones, sum(case when op = 'put' then strlen(key) + strlen(value) else 0 end)::bigint as bytes, max(seq) as last_seq from l",
     "index_stats": f"select (select count(*) from documents) as index_docs, (select count(distinct key) from {SYMBOLS}) as index_symbols, (select count(*) from embeddings) as index_vectors, (select count(*) from (select src from {EDGES} union select dst from {EDGES})) as graph_nodes, (select count(*) from {EDGES}) as graph_edges",
     "compact_merge": f"select key, case when arg_max(op, seq) = 'put' then arg_max(value, seq) end as value, arg_max(op, seq) as op, max(seq) as seq from {LOG} group by key",
+    "compact_history": f"with l as (select *, (seq > {at(4)})::int + (seq > {at(8)})::int as era from {LOG}), k as (select key, era, arg_max(value, seq) as value, arg_max(op, seq) as op, max(seq) as seq from l group by key, era), c as (select *, count(*) filter (op = 'put') over (partition by key order by seq) as puts from k) select '' as namespace, key, value, op, seq from c where puts > 0",
     "tombstone_gc": f"select key, arg_max(value, seq) as value, 'put' as op, max(seq) as seq from {LOG} group by key having arg_max(op, seq) = 'put'",
     "log_recover": f"select seq, key, value, op from {LOG} where seq < {M} * 3 // 4",
     "snapshot_read": f"select * from {S4}",
@@ -185,6 +201,9 @@ SQL: dict[str, str] = {
     "mvcc_visible": f"select key, arg_max(value, commit_ts) as value, max(commit_ts) as commit_ts from {PUTS} where commit_ts % 11 <> 0 group by key",
     "mvcc_conflicts": f"select key from {READ_SET} where key in (select key from {PUTS} where commit_ts > {at(4)})",
     "mvcc_gc": f"with v as (select key, case when commit_ts % 11 <> 0 then commit_ts end as commit_ts from {PUTS}), r as (select *, row_number() over (partition by key order by commit_ts desc) as n from v where commit_ts is not null), o as (select *, row_number() over (partition by key, n > 1 and commit_ts < {at(6)} order by commit_ts desc) as m from r), k as (select key, commit_ts from o where not (n > 1 and commit_ts < {at(6)}) or m = 1 union all select key, null from v where commit_ts is null) select key, count(*) as n_versions, count(*) filter (commit_ts is null) as n_intents from k group by key",
+    "mvcc_commit_keys": f"select key, count(*) as n_versions, count(*) filter (commit_ts is null and not (txn = 't1' and key < 'user/00000500')) as n_intents from {INTENTS} group by key",
+    "mvcc_abort_keys": f"select key, count(*) as n_versions, count(*) filter (commit_ts is null) as n_intents from {INTENTS} where not (commit_ts is null and txn = 't1' and key < 'user/00000500') group by key",
+    "mvcc_read_isolation": f"with w as {USERS.format(0, 200, '')}, r as (select key, arg_max(value, commit_ts) as value from {PUTS} group by key), s as (select key, arg_max(value, commit_ts) as value from {PUTS} where commit_ts <= {at(5)} group by key) select key, value, 'read_committed' as isolation from w left join r using (key) union all select key, value, 'snapshot' from w left join s using (key)",
     "schema_validate": f"select event_id, len(w)::bigint as n_errors, array_to_string(list_transform(w, lambda x: x.message), '; ') as messages from (select event_id, {WRONG} as w from {RAW})",
     "schema_violation_counts": f"select e.field as field, e.message as message, count(*) as n from (select unnest({WRONG}) as e from {RAW}) group by all",
     "schema_defaults": f"select coalesce(lines, '0') as lines, count(*) as n from {RAW} group by 1",

@@ -211,6 +211,12 @@ def graph_counts(spark, d):
     return graph.counts(T.edges(spark, d))
 
 
+@query
+def graph_has_node(spark, d):
+    wanted = spark.range(0, 40).select(F.concat(F.lit("region/"), F.col("id").cast("string")).alias("key"))
+    return graph.has_node(T.edges(spark, d), wanted)
+
+
 @query
 def graph_search_docs(spark, d):
     nodes = T.table(spark, d, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("key"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("value"))
@@ -298,6 +304,17 @@ def namespace_ids(spark, d):
     return namespaces.identify(named).select("repository", "namespace_id")
 
 
+@query
+def namespace_record_keys(spark, d):
+    named = namespaces.identify(T.documents(spark, d).withColumn("commit", F.lit("abc123")), "namespace", "commit")
+    return named.where("namespace_id is not null").select("key", hashing.record_key(F.col("namespace_id"), F.lit("doc"), F.col("key")).alias("record_key"))
+
+
+@query
+def namespace_stats(spark, d):
+    return namespaces.statistics(T.documents(spark, d))
+
+
 @query
 def namespace_scan(spark, d):
     return namespaces.scan(T.documents(spark, d), "src1").select("key", F.md5("value").alias("value_md5"))
@@ -393,6 +410,12 @@ def compact_merge(spark, d):
     return state.compact(_runs(T.change_log(spark, d)))
 
 
+@query
+def compact_history(spark, d):
+    log = T.change_log(spark, d).withColumn("namespace", F.lit(""))
+    return state.compact_history(log, [_tenths(log, 4), _tenths(log, 8)])
+
+
 @query
 def tombstone_gc(spark, d):
     return state.compact(_runs(T.change_log(spark, d)), drop_tombstones=True)
@@ -518,6 +541,30 @@ def mvcc_gc(spark, d):
     return kept.groupBy("key").agg(F.count(F.lit(1)).alias("n_versions"), F.count_if(F.col("commit_ts").isNull()).alias("n_intents"))
 
 
+def _intents(log):
+    """Versions of one transaction (t0 or t1) for each key, some of them uncommitted."""
+    return _versions(log, intents=True).withColumn("txn", F.concat(F.lit("t"), (F.length("value") % 2).cast("string")))
+
+
+@query
+def mvcc_commit_keys(spark, d):
+    log = T.change_log(spark, d)
+    done = transactions.commit_keys(_intents(log), _users(spark, 0, 500).select("key"), "t1", T.last_seq(log) + 1)
+    return transactions.version_counts(done)
+
+
+@query
+def mvcc_abort_keys(spark, d):
+    return transactions.version_counts(transactions.abort_keys(_intents(T.change_log(spark, d)), _users(spark, 0, 500).select("key"), "t1"))
+
+
+@query
+def mvcc_read_isolation(spark, d):
+    log, wanted = T.change_log(spark, d), _users(spark, 0, 200).select("key")
+    seen = [transactions.read(_versions(log).withColumn("txn", F.lit("t0")), wanted, level, _tenths(log, 5), "t1").withColumn("isolation", F.lit(level)) for level in ("read_committed", "snapshot")]
+    return seen[0].unionByName(seen[1])
+
+
 # ---- validation
 
 
