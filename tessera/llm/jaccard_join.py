@@ -8,8 +8,9 @@
    partners must meet in its beginning (prefix filter); sets that meet at an n-gram go to one family.
 3. Product. The document by n-gram incidence matrix of a family is multiplied with itself, block by
    block: overlap counts accumulate over the n-grams, and pairs below the bound that their sizes set are
-   discarded. A family of any size is cut into blocks, each pair of blocks is a task of bounded size,
-   and a task returns a spanning forest and link counts, never its pairs.
+   discarded. A family that does not fit one block is cut into tiers of set size, and tiers into blocks;
+   only tiers whose sizes allow a link meet. Each pair of blocks is a task of bounded size, and a task
+   returns a spanning forest and link counts, never its pairs.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ from . import words as W
 from .components import components, salted
 from ..sources.scratch import Scratch, shuffle_partitions
 
-#: Documents in one packed block of regions, and sets in one block of a product.
+#: Documents in one packed block of regions; n-grams of one range that are counted at a time.
 PACK = 2048
-BLOCK = 256
+RANGE = 1 << 20
+#: Sets, and n-grams of them, in one block of a product.
+BLOCK = 2048
+BLOCK_GRAMS = 1 << 19
 
 
 def shingles(texts: pa.Array, k: int):
@@ -131,21 +135,25 @@ def _requests(parts: int):
 
 
 def _replies(batches):
-    """For each request the number of documents that hold its n-grams, up to 255."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    parts = np.concatenate([np.asarray(b["part"]) for b in tables])
-    packs = np.concatenate([np.asarray(b["pack"]) for b in tables])
-    grams = [np.frombuffer(x, np.uint64) for b in tables for x in b["grams"].to_pylist()]
-    counts = [np.frombuffer(x, np.uint8) for b in tables for x in b["counts"].to_pylist()]
-    del tables
-    for part in np.unique(parts):
-        rows = np.flatnonzero(parts == part)
-        _, at = np.unique(np.concatenate([grams[i] for i in rows]), return_inverse=True)
-        total = np.minimum(np.bincount(at, np.concatenate([counts[i] for i in rows])), 255).astype(np.uint8)[at]
-        cuts = np.cumsum([0] + [len(grams[i]) for i in rows])
-        yield pa.RecordBatch.from_arrays([pa.array(packs[rows]), pa.array(np.full(len(rows), part)), pa.array([total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["pack", "part", "totals"])
+    """For each request the number of documents that hold its n-grams, up to 255. Requests come by range."""
+
+    def reply(part, packs, grams, counts):
+        _, at = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.minimum(np.bincount(at, np.concatenate(counts)), 255).astype(np.uint8)[at]
+        cuts = np.cumsum([0] + [len(g) for g in grams])
+        return pa.RecordBatch.from_arrays([pa.array(packs, pa.int64()), pa.array(np.full(len(packs), part)), pa.array([total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["pack", "part", "totals"])
+
+    part, held = None, ([], [], [])
+    for b in batches:
+        for key, *row in zip(b["part"].to_pylist(), b["pack"].to_pylist(), b["grams"].to_pylist(), b["counts"].to_pylist(), strict=True):
+            if key != part:
+                if held[0]:
+                    yield reply(part, *held)
+                part, held = key, ([], [], [])
+            for column, x in zip(held, (row[0], np.frombuffer(row[1], np.uint64), np.frombuffer(row[2], np.uint8)), strict=True):
+                column.append(x)
+    if held[0]:
+        yield reply(part, *held)
 
 
 def _survivors(bounds: Bounds):
@@ -186,65 +194,75 @@ def _members(batches):
 
 
 def _sets(k: int):
+    """The sets of the wanted classes, other columns kept; a text of another set with the same identifier drops out."""
+
     def run(batches):
         for batch in batches:
             found = list(shingles(batch["text"], k))
-            keep = [i for i, (f, a, b) in enumerate(zip(found, batch["p1"].to_pylist(), batch["p2"].to_pylist(), strict=True)) if fingerprint(f) == (a, b)]
-            yield pa.RecordBatch.from_arrays([batch["family"].take(pa.array(keep, pa.int64())), batch["blocks"].take(pa.array(keep, pa.int64())), batch["node"].take(pa.array(keep, pa.int64())), batch["copies"].take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["family", "blocks", "node", "copies", "grams"])
+            keep = pa.array([i for i, (f, a, b) in enumerate(zip(found, batch["p1"].to_pylist(), batch["p2"].to_pylist(), strict=True)) if fingerprint(f) == (a, b)], pa.int64())
+            rest = [c for c in batch.schema.names if c not in ("text", "p1", "p2")]
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(keep) for c in rest], pa.array([found[i].tobytes() for i in keep.to_pylist()], pa.binary())], [*rest, "grams"])
 
     return run
 
 
-def product(sets: list[np.ndarray], block: np.ndarray, bounds: Bounds) -> list[np.ndarray]:
-    """For each set those linked to it, all pairs of the two blocks 0 and 1, or within block 0 if alone."""
-    sizes = np.array([len(x) for x in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    holders = row[np.argsort(column, kind="stable")]
+def product(left: list[np.ndarray], right: list[np.ndarray] | None, bounds: Bounds) -> list[tuple[int, np.ndarray]]:
+    """For sets of ``left`` the places of those in ``right`` that link with it; without ``right``, in ``left``."""
+    other = left if right is None else right
+    sizes = np.array([len(x) for x in other])
+    keys, column = np.unique(np.concatenate(other), return_inverse=True)
+    holders = np.repeat(np.arange(len(other)), sizes)[np.argsort(column, kind="stable")]
     count = np.bincount(column)
     start = np.cumsum(count) - count
-    cross = block.max(initial=0) > 0
-    ends, out = np.cumsum(sizes), []
-    for i in range(len(sets)):
-        own = column[ends[i] - sizes[i] : ends[i]]
-        own = own[count[own] > 1]
-        n = count[own]
-        at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        overlap = np.bincount(holders[at], minlength=len(sets))
-        hit = (overlap > 0) & bounds.linked(overlap, sizes[i], sizes)
-        hit[i] = False
-        if cross:
-            hit &= block != block[i]
-        out.append(np.flatnonzero(hit))
+    out = []
+    for i, own in enumerate(left):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        at = at[keys[at] == own]
+        n = count[at]
+        overlap = np.bincount(holders[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(other))
+        hit = (overlap > 0) & bounds.linked(overlap, len(own), sizes)
+        if right is None:
+            hit[i] = False
+        if hit.any():
+            out.append((i, np.flatnonzero(hit)))
     return out
 
 
 def _link(bounds: Bounds):
-    """Rows of a task come by (family, i, j); each pair of blocks gives links and counts."""
+    """Rows of a task come by ``task``, those of ``side`` 0 first; each pair of blocks gives links and counts."""
 
     def solve(rows):
         rows = list({r["node"]: r for r in rows}.values())  # rows may repeat
         ids = np.array([r["node"] for r in rows])
         copies = np.array([r["copies"] for r in rows])
         sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
-        block = np.array([int(r["block"] != r["i"]) for r in rows])
-        linked = product(sets, block, bounds)
-        label = np.arange(len(ids))
-        for i, at in enumerate(linked):
-            if len(at):
-                joined = np.unique(np.append(label[at], label[i]))
-                label[np.isin(label, joined)] = joined[0]
-        found = [(int(ids[i]), int(ids[label == label[i]].min()), int(copies[at].sum())) for i, at in enumerate(linked) if len(at)]
-        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["a", "b", "links"])
+        cut = sum(r["side"] == 0 for r in rows)
+        if rows[0]["alone"]:
+            linked = product(sets, None, bounds)
+        elif 0 < cut < len(rows):
+            linked = [(i, at + cut) for i, at in product(sets[:cut], sets[cut:], bounds)]
+        else:
+            linked = []
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, at in linked:
+            links[i] += copies[at].sum()
+            if not rows[0]["alone"]:
+                links[at] += copies[i]
+            joined = np.unique(np.append(label[at], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ids)
+        at = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(least[label[at]], pa.int64()), pa.array(links[at], pa.int64())], ["a", "b", "links"])
 
     def run(batches):
         key, rows = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                if (r["family"], r["i"], r["j"]) != key:
+                if r["task"] != key:
                     if len(rows) > 1:
                         yield solve(rows)
-                    key, rows = (r["family"], r["i"], r["j"]), []
+                    key, rows = r["task"], []
                 rows.append(r)
         if len(rows) > 1:
             yield solve(rows)
@@ -252,6 +270,46 @@ def _link(bounds: Bounds):
     return run
 
 
+_ENDS = "ends array<struct<side:int,low:int,high:int,low_blocks:int,high_blocks:int>>"
+
+
+def _with_ends(placed: DataFrame, bounds: Bounds, scratch: Scratch) -> DataFrame:
+    """``placed`` (family, node, size) with ``ends``: the pairs of tiers that a set takes part in, and on which side.
+
+    A family that fits one block is one tier. The tiers of another hold sets of sizes within the ratio that
+    a link allows, so a tier meets itself and its neighbours, unless the sizes it holds rule that out."""
+    whole = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
+    whole = scratch.table(whole.select("family", ((F.col("n") <= BLOCK) & (F.col("grams") <= BLOCK_GRAMS)).alias("fits")), "whole")
+    ratio = float(np.log(100 / bounds.percent)) or 1.0
+    tier = F.when(F.col("fits"), F.lit(0)).otherwise(F.floor(F.log("size") / ratio).cast("int"))
+    rows = scratch.table(placed.join(whole, "family").withColumn("tier", tier).drop("fits"), "tiered")
+    tiers = rows.groupBy("family", "tier").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"), F.min("size").alias("least"), F.max("size").alias("most"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    tiers = scratch.table(tiers.select("family", "tier", blocks.alias("blocks"), "least", "most"), "tiers")
+    upper = tiers.select("family", F.col("tier").alias("high"), F.col("blocks").alias("high_blocks"), F.col("least").alias("high_least"))
+    meets = tiers.withColumn("high", F.explode(F.array(*[F.col("tier") + i for i in range(3)]))).join(upper, ["family", "high"])
+    meets = meets.where((F.col("tier") == F.col("high")) | (100 * F.col("most") >= bounds.percent * F.col("high_least")))
+    pair = [F.col("tier").alias("low"), "high", F.col("blocks").alias("low_blocks"), "high_blocks"]
+    end = lambda side, at: F.struct(F.col(at).alias("at"), F.struct(F.lit(side).alias("side"), *pair).alias("end"))
+    ends = meets.select("family", F.explode(F.when(F.col("tier") == F.col("high"), F.array(end(0, "tier"))).otherwise(F.array(end(0, "tier"), end(1, "high")))).alias("e"))
+    ends = ends.groupBy("family", F.col("e.at").alias("tier")).agg(F.collect_list("e.end").alias("ends"))  # five at most
+    return rows.join(scratch.table(ends, "ends"), ["family", "tier"]).drop("tier")
+
+
+def _dealt(sets: DataFrame) -> DataFrame:
+    """A row for each set and each pair of blocks that it takes part in, by ``task`` and ``side``."""
+    e = sets.withColumn("e", F.explode("ends")).select("family", "node", "copies", "grams", "e.*")
+    first_side = F.col("side") == 0
+    own = F.pmod(F.xxhash64("node"), F.when(first_side, F.col("low_blocks")).otherwise(F.col("high_blocks"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(first_side, F.col("high_blocks")).otherwise(F.col("low_blocks")) - 1)
+    e = e.withColumn("own", own).withColumn("other", F.explode(others))
+    same = F.col("low") == F.col("high")
+    i = F.when(same, F.least("own", "other")).when(first_side, F.col("own")).otherwise(F.col("other"))
+    j = F.when(same, F.greatest("own", "other")).when(first_side, F.col("other")).otherwise(F.col("own"))
+    side = F.when(same, (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side"))
+    return e.select(F.struct("family", "low", i.alias("i"), "high", j.alias("j")).alias("task"), side.alias("side"), (same & (F.col("own") == F.col("other"))).alias("alone"), "node", "copies", "grams")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, n_links.
 
@@ -272,8 +330,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     regions = scratch.table(regions, "regions", "none")
     members = regions.select("ids", "valid", "sizes", "prints").mapInArrow(_members, "doc_id long, p1 long, p2 long, n_shingles long")
 
-    asked = regions.select("pack", "grams").mapInArrow(_requests(4 * parts), "part long, pack long, grams binary, counts binary")
-    replies = scratch.table(asked.repartition(parts, "part").mapInArrow(_replies, "pack long, part long, totals binary"), "replies")
+    total = regions.agg(F.sum(F.octet_length("grams"))).first()[0] or 0
+    asked = regions.select("pack", "grams").mapInArrow(_requests(max(4 * parts, total // 8 // RANGE)), "part long, pack long, grams binary, counts binary")
+    replies = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_replies, "pack long, part long, totals binary")
+    replies = scratch.table(replies, "replies")
     scratch.free()
     answers = replies.groupBy("pack").agg(F.collect_list(F.struct("part", "totals")).alias("replies"))  # of one pack, so bounded
     chosen = regions.join(answers, "pack", "left").select("ids", "valid", "sizes", "prints", "grams", "replies")
@@ -281,11 +341,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     scratch.drop("replies")
 
     # tables of aggregates, so that a join deals both sides out and Spark can split a hot key
-    groups = members.where("doc_id is not null and n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    groups = members.where("doc_id is not null and n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"))
     groups = scratch.table(groups, "classes")
     # a class of equal sets is the node of its identifier, or of p1 where other classes have that identifier too
     twice = scratch.table(groups.groupBy("class_id").count().where("count > 1").select("class_id", F.lit(True).alias("twice")), "twice")
-    groups = groups.join(twice, "class_id", "left").select("p1", "p2", "class_id", "copies", F.when(F.col("twice"), F.col("p1")).otherwise(F.col("class_id")).alias("node"))
+    groups = groups.join(twice, "class_id", "left").select("p1", "p2", "class_id", "copies", "size", F.when(F.col("twice"), F.col("p1")).otherwise(F.col("class_id")).alias("node"))
     groups = scratch.table(groups, "groups")
     classes = survivors.join(groups, ["p1", "p2"]).where("doc_id = class_id").select("p1", "p2", "node", "grams").dropDuplicates(["p1", "p2"])
     postings = scratch.table(classes.select(F.col("node").alias("rep"), F.explode("grams").alias("gram")), "postings")
@@ -296,14 +356,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     families = scratch.table(components(meets, scratch, "families"), "family")
     scratch.drop("postings", "pivots", "classes", "twice")
 
-    sized = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    places = families.join(sized, "component").join(groups, "node").select("node", F.col("class_id").alias("doc_id"), F.col("component").alias("family"), "blocks", "copies", "p1", "p2")
-    wanted = rows.join(places, "doc_id").select("family", "blocks", "node", "copies", "p1", "p2", "text")
-    sets = wanted.mapInArrow(_sets(k), "family long, blocks long, node long, copies long, grams binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = paired.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "grams")
-    tasks = tasks.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    places = scratch.table(families.withColumnRenamed("component", "family").join(groups, "node").select("family", "node", "size", "copies", F.col("class_id").alias("doc_id"), "p1", "p2"), "places")
+    wanted = rows.join(_with_ends(places, bounds, scratch), "doc_id").select("family", "node", "copies", "ends", "p1", "p2", "text")
+    sets = wanted.mapInArrow(_sets(k), f"family long, node long, copies long, {_ENDS}, grams binary")
+    tasks = _dealt(sets).repartition(parts, "task").sortWithinPartitions("task", "side", "node")
     found = scratch.table(tasks.mapInArrow(_link(bounds), "a long, b long, links long"), "found")
     scratch.free()
 

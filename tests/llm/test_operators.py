@@ -111,6 +111,28 @@ def test_jaccard_large_family_in_blocks(spark, monkeypatch):
     same(found, brute_components([(i, shingle_set(t)) for i, t in rows]))
 
 
+def test_jaccard_family_in_tiers_of_size(spark, monkeypatch):
+    """Texts that grow out of one another: a family of all sizes, of which only near ones may link."""
+    rnd = random.Random(12)
+    long = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(long[: rnd.randrange(20, 400)])) for i in range(160)]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 12)
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 1500)
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    same(found, brute_components([(i, shingle_set(t)) for i, t in rows]))
+
+
+def test_jaccard_product():
+    import numpy as np
+
+    rnd = random.Random(3)
+    sets = [np.unique(np.array([rnd.randrange(40) for _ in range(rnd.randrange(20, 40))], np.uint64)) for _ in range(30)]
+    bounds = jaccard_join.Bounds(60)
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(set(a) & set(b)) >= 60 * len(set(a) | set(b))}
+    assert want and {(i, int(j)) for i, at in jaccard_join.product(sets, None, bounds) for j in at} == want
+    assert {(i, int(j) + 12) for i, at in jaccard_join.product(sets[:12], sets[12:], bounds) for j in at} == {(i, j) for i, j in want if i < 12 <= j}
+
+
 def test_jaccard_identifier_on_different_texts(spark):
     rnd = random.Random(6)
     shared = [f"w{i}" for i in range(30)]
