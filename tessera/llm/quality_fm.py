@@ -20,7 +20,7 @@ from . import words as W
 
 BUCKETS = 1 << 15
 RANK = 8
-#: Expected number of labelled rows to learn from; rows are chosen by a hash of the identifier.
+#: Expected number of labelled documents to learn from.
 TRAIN_ROWS = 6_000
 #: A share for each ASCII byte and one for all others, then 7 more statistics and one metadata column.
 STATISTICS = 129 + 7 + 1
@@ -119,15 +119,16 @@ def fit(bounds, buckets, weights, stats, labels: np.ndarray, epochs: int = 12, b
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", meta_col="n_chars", label_col="quality", train_rows: int = TRAIN_ROWS) -> Machine:
-    """Learns from the texts of ``docs`` that ``labels`` (id, 0 or 1) covers: all, or about ``train_rows``."""
+    """Learns from the texts of ``docs`` that ``labels`` (id, 0 or 1) covers: all, or about ``train_rows``, chosen
+    by a hash of the identifier among those that ``docs`` has. Rows that repeat identifier and text count once."""
     W.bound_batches()
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    total = known.count()
+    total = known.join(docs.select(docs[id_col].alias("doc_id")).distinct(), "doc_id", "left_semi").count()
     if total > train_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(train_rows / total * (1 << 30)))
     meta = docs[meta_col].cast("double") if meta_col else F.lit(0.0)
-    chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), meta.alias("meta")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "meta", "label")
+    chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), meta.alias("meta")).join(known, "doc_id").select("doc_id", "text", "meta", "label").distinct()
 
     def run(batches):
         for b in batches:

@@ -404,6 +404,47 @@ def test_language_id(docs, rows, empty, spark, small):
     assert sum(r.lang == r.lang_pred for r in told) >= 0.97 * len(told)
 
 
+def plain_letters(text):
+    return " ".join(re.findall(r"[^\W\d_]+", text or "")).lower()
+
+
+def plain_ranks(counts, size):
+    order = sorted(counts, key=lambda g: (-counts[g], len(g), g))
+    return {g: i for i, g in enumerate(order[:size])}
+
+
+def plain_grams(text):
+    s = f" {plain_letters(text)} "
+    return Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if not (n == 1 and s[i] == " "))
+
+
+def plain_language(rows, texts, size=langid.PROFILE):
+    """Out-of-place distances from dictionaries. rows: (text, lang) to learn from. Ties of n-grams go to the shorter,
+    then to the smaller by code points; ties of languages to the first."""
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        if lang is not None and any(map(str.isalpha, text or "")):
+            counts[lang] += plain_grams(text)
+    profiles = {lang: plain_ranks(c, size) for lang, c in sorted(counts.items())}
+    for t in texts:
+        if not profiles or not any(map(str.isalpha, t or "")):
+            yield "und", 0.0
+            continue
+        own = plain_ranks(plain_grams(t), size)
+        off = {lang: sum(abs(p[g] - i) if g in p else size for g, i in own.items()) for lang, p in profiles.items()}
+        best = min(off, key=lambda lang: (off[lang], lang))
+        yield best, 1 - off[best] / (size * len(own))
+
+
+def test_language_id_against_plain_distances(spark, docs, rows, small):
+    ties = [(1000 + i, t, lang, "s", 0) for i, (t, lang) in enumerate([("ab ab", "xx"), ("ab ab", "ww"), ("zz zz", "yy"), ("ab", None), ("zz", None), ("ab zz", None), ("\U0001d4d0 é É", None), ("1 2 _", None)])]
+    for table in (docs.select("doc_id", "text", "lang"), spark.createDataFrame(ties, "doc_id long, text string, lang string, source string, n_chars long"), spark.read.parquet(f"{small}/documents.parquet")):
+        data = table.select("doc_id", "text", "lang").collect()
+        found = langid.identify(table, F.lit(False)).collect()
+        want = list(plain_language([(r.text, r.lang) for r in data], [r.text for r in data]))
+        same([(r.doc_id, r.lang_pred, round(r.score, 9)) for r in found], [(r.doc_id, lang, round(score, 9)) for r, (lang, score) in zip(data, want, strict=True)])
+
+
 def test_language_id_learns_a_rare_language_of_copies(spark):
     many = spark.range(40_000).select(F.concat(F.lit("the house and the garden "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
     for text in ("zwölf böse füchse", "über größe und öl", "süße äpfel für jörg", "schöne grüße"):
@@ -424,6 +465,38 @@ def test_quality(docs, rows, empty, spark, small):
     assert auc > 0.8
 
 
+def test_factorisation_machine_against_all_pairs(rows):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    texts = pa.array([r[1] for r in rows])
+    meta = np.array([float(r[4] or 0) for r in rows])
+    bounds, buckets, weights, stats = quality_fm.features(texts, meta)
+    machine = quality_fm.fit(bounds, buckets, weights, stats, rng.integers(0, 2, len(rows)).astype(float), epochs=2)
+    row, index, value = machine.inputs(bounds, buckets, weights, stats)
+    scores = machine.score(texts, meta)
+    for i in range(0, len(rows), 7):
+        own = np.flatnonzero(row == i)
+        if len(own) > 2000:
+            continue
+        total = machine.bias + (machine.linear[index[own]] * value[own]).sum()
+        for a in range(len(own)):
+            va = machine.factors[index[own[a]]] * value[own[a]]
+            for b in range(a):
+                total += float(va @ machine.factors[index[own[b]]]) * value[own[b]]
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-np.clip(total, -30, 30))), abs=1e-9)
+
+
+def test_quality_of_repeated_rows_and_null_metadata(spark):
+    texts = [(i, f"good words number {i} " * 5 if i % 2 else f"bad $$$ {i} " * 5, None if i % 3 else 9) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40)], "doc_id long, quality int")
+    once = spark.createDataFrame(texts, "doc_id long, text string, n_chars long")
+    many = spark.createDataFrame(texts + [texts[3]] * 50, "doc_id long, text string, n_chars long")
+    scores = {r.doc_id: r.score for r in quality_fm.classify(once, labels, F.lit(False)).collect()}
+    found = quality_fm.classify(many, labels, F.lit(False)).collect()
+    assert len(found) == 110 and all(r.score == pytest.approx(scores[r.doc_id]) for r in found)
+
+
 def test_sentencepiece_against_the_library(spark, docs, rows, empty):
     sp = pytest.importorskip("sentencepiece")
     path = queries.piece_model_path()

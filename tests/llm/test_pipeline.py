@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from test_operators import DOCS, brute_components, brute_lines, corpus, same, shingle_set, words
+from test_operators import DOCS, brute_components, brute_lines, corpus, plain_language, same, shingle_set, words
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -27,7 +27,8 @@ def empty(spark):
 def test_language_stage_rejects_only_texts_without_letters(spark, docs, rows, empty):
     found = P.language_id(spark, docs, "")
     assert found.columns == docs.columns
-    same(found.collect(), [r for r in rows if any(map(str.isalpha, r[1] or ""))])
+    told = plain_language([(r[1], r[2]) for r in rows], [r[1] for r in rows])
+    same(found.collect(), [(*r[:2], r[2] or lang, *r[3:]) for r, (lang, _) in zip(rows, told, strict=True) if lang != "und"])
     same(P.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").select("doc_id", "text").collect(), [r[:2] for r in rows if any(map(str.isalpha, r[1] or ""))])
     assert P.language_id(spark, empty, "").collect() == []
 
@@ -63,6 +64,24 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs, rows, empty):
     assert P.near_duplicates(spark, empty, "").collect() == []
 
 
+def test_near_duplicate_stage_with_one_identifier_on_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 2), (5, b, "en", "s", 3), (5, b, "fr", "s", 4), (7, c, "en", "s", 5), (7, c, "en", "s", 5), (None, a, None, None, None)]
+    found = P.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS).repartition(2), "")
+    assert sorted((r.doc_id or 0, r.text) for r in found.collect()) == sorted([(0, a), (1, a), (5, b), (7, c)])
+
+
+@pytest.mark.parametrize("stage", [f for _, f in P.STAGES])
+def test_stages_with_columns_of_their_own_names(spark, docs, rows, stage):
+    names = ["_found", "_gone", "_twice", "_key", "key", "mark", "n", "flags", "p", "source_size", "_copies", "_size", "_c0", "_drop_id"]
+    wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    found = stage(spark, wide, "")
+    if stage is not P.encode_pieces:
+        assert found.columns == wide.columns
+        assert found.where(" or ".join(f"`{n}` <> {i}" for i, n in enumerate(names))).count() == 0
+    same(found.select("doc_id").collect(), stage(spark, docs, "").select("doc_id").collect())
+
+
 def test_mixing_stage(spark, docs, rows, empty):
     found = P.mix_sources(spark, docs, "")
     assert found.columns == docs.columns
