@@ -15,36 +15,50 @@ from tessera.sources.scratch import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns profiles from the labels of ``docs`` and rejects texts of no language: null, or without a letter."""
+    """Learns profiles from the labels of ``docs``, rejects texts of no language (null, or without a letter) and
+    labels rows without ``lang`` with the predicted one. Repeated rows are judged one by one. Without a label to
+    learn from nothing is predicted and ``lang`` stays null."""
     profiles = langid.learn_profiles(docs)
     found = langid.predict(docs["text"], profiles)
     if not profiles.languages:
-        found = F.struct(F.when(F.col("text").rlike(r"\p{L}"), F.lit("")).otherwise(langid.UNDETERMINED).alias("lang_pred"))
-    return docs.withColumn("_found", found).where(F.col("_found.lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+        lettered = F.when(F.col("text").rlike(r"\p{L}"), F.lit(None).cast("string")).otherwise(langid.UNDETERMINED)
+        found = F.struct(lettered.alias("lang_pred"))
+    told = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("doc"), found.alias("told"))
+    told = told.where(~F.col("told.lang_pred").eqNullSafe(langid.UNDETERMINED))
+    lang = F.coalesce("doc.lang", "told.lang_pred")
+    return told.select(*[(lang if c == "lang" else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes repeated runs of lines from texts; n_chars follows the text. No row goes."""
-    kept = line_dedup.dedup_lines(docs, count_col="_n_deleted")
-    length = F.when(F.col("_n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", length).select(*docs.columns)
+    """Deletes repeated runs of lines from texts; n_chars follows the text. No row goes. Null texts stay null."""
+    names, deleted = docs.columns, "deleted"
+    while deleted in names:
+        deleted += "_"
+    kept = line_dedup.dedup_lines(docs, count_col=deleted)
+    length = F.when(F.col(deleted) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.select(*[(length if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in names])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect, the document with the smallest identifier stays; of rows that
-    repeat it, one. Documents without words and those without identifier stay."""
-    groups = jaccard_join.jaccard_components(docs)
-    gone = groups.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = groups.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    if not repeated.take(1):
-        return kept
-    twice = F.col("doc_id") == F.col("_twice")
-    return kept.join(repeated, twice, "left_anti").unionByName(kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group that links connect, the row with the smallest identifier stays; of rows that repeat it, the
+    one with the smallest hash of the text, then one of those. Rows without words and rows without identifier
+    stay."""
+    scratch = Scratch(spark, "near-duplicates")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    # each row is a document of its own, whatever its identifier
+    key = F.when(docs["doc_id"].isNotNull(), F.monotonically_increasing_id())
+    rows = scratch.table(docs.select(*[docs[f"`{c}`"].alias(n) for c, n in names.items()], key.alias("key")), "rows")
+    groups = jaccard_join.jaccard_components(rows, id_col="key", text_col=names["text"]).where("n_shingles > 0 and doc_id is not null")
+    groups = scratch.table(groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")), "groups")
+    order = rows.select("key", F.struct(F.col(names["doc_id"]), F.xxhash64(names["text"]), "key").alias("order"))
+    first = groups.join(order, "key").groupBy("component").agg(F.min("order").alias("first")).select(F.col("first.key").alias("key"))
+    gone = scratch.table(groups.join(first, "key", "left_anti").select("key"), "gone")
+    return rows.join(gone, "key", "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as its source's target asks."""
+    """Takes each row as often as its source's target asks. A null source is one of its own, rows without words
+    are as often taken as others of their source, and rows that repeat an identifier get the same number each."""
     return mixing.mix(docs)
 
 
