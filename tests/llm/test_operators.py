@@ -338,6 +338,22 @@ def test_url_filter(spark, small):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), queries.RULES).collect() == []
 
 
+def test_url_rules_as_a_table_and_beyond_what_is_sent(spark, monkeypatch):
+    rules = [("block" if i % 3 else "allow", f"h{i % 200}.com", f"/{'ab'[i % 2]}{i // 200}/") for i in range(900)]
+    rows = [(i, f"http://{'www.' * (i % 2)}h{i % 250}.com/{'ab'[i % 2]}{i % 7}/x") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    table = spark.createDataFrame(rules, "verdict string, host string, path string").repartition(2)
+    want = []
+    for i, u in rows:
+        _, _, host, path = u.split("/", 3)
+        fits = [(len(h) + len(p), len(h), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        want.append((i, host, f"/{path}", max(fits)[3] if fits else None, max(fits)[2] if fits else "allow"))
+    same(url_filter.filter_urls(pages, table).collect(), want)
+    monkeypatch.setattr(url_filter, "MAX_BITS", 1000)
+    same(url_filter.filter_urls(pages, table).collect(), want)
+    assert {r.verdict for r in url_filter.filter_urls(pages, table.limit(0)).collect()} == {"allow"}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     from tessera.sources.scratch import Scratch
 
@@ -345,7 +361,7 @@ def test_cascade_is_exact_over_its_universe(spark):
     listed = spark.range(300).selectExpr("concat('key', id * 31) key")
     cascade = url_filter.build_cascade(universe, listed, Scratch(spark, "test"), "c")
     assert len(cascade.levels) > 2
-    found = universe.where(cascade.listed(F.col("key")))
+    found = cascade.attach(universe).where(cascade.listed(F.col("key"))).select("key")
     same(found.collect(), listed.collect())
 
 
