@@ -105,7 +105,8 @@ _FLOOR = np.dtype([("score", float), ("id", np.int64), ("key", np.int64)])
 
 
 def _meet(width, k, rotation):
-    """Scores of a block of queries against a block of candidates, the k best that pass each query's floor."""
+    """Scores of a block of queries against one of candidates, whose parts come by descending length: the k best
+    of each query that pass its floor, which rises on the way."""
     top = rotation[:, :HEAD]
     rest = lambda m, h: np.sqrt(np.maximum((m * m).sum(1) - (h * h).sum(1), 0))
 
@@ -132,15 +133,22 @@ def _meet(width, k, rotation):
                 at, s = at[passes], s[passes]
                 best = np.lexsort((ckey[at], cid[at], -s))[:k]
                 if len(best):
-                    yield np.full(len(best), qkey[i]), np.full(len(best), qid[i]), ckey[at[best]], cid[at[best]], s[best]
+                    yield i, (ckey[at[best]], cid[at[best]], s[best])
 
     def run(left, right):
         found = [(np.zeros(0, np.int64),) * 5]
         for _, q in left.iterrows():
             packed = _unpack(q, width)
-            floors = np.frombuffer(q["floors"], _FLOOR) if q["floors"] is not None else np.full(len(packed[0]), np.array((-np.inf, 0, 0), _FLOOR))
-            for _, c in right.iterrows():
-                found += score(packed, floors, _unpack(c, width), c["longest"])
+            floors = np.frombuffer(q["floors"], _FLOOR).copy() if q["floors"] is not None else np.full(len(packed[0]), np.array((-np.inf, 0, 0), _FLOOR))
+            held: dict[int, tuple] = {}
+            for _, c in right.sort_values("longest", ascending=False).iterrows():
+                for i, more in score(packed, floors, _unpack(c, width), c["longest"]):
+                    keys, ids, scores = (np.concatenate(x) for x in zip(held[i], more, strict=True)) if i in held else more
+                    best = np.lexsort((keys, ids, -scores))[:k]
+                    held[i] = keys[best], ids[best], scores[best]
+                    if len(best) == k:
+                        floors[i] = scores[best[-1]], ids[best[-1]], keys[best[-1]]
+            found += [(np.full(len(x[0]), packed[1][i]), np.full(len(x[0]), packed[0][i]), *x) for i, x in held.items()]
         return pd.DataFrame({n: np.concatenate(v) for n, v in zip(["query_key", "query_id", "key", "vec_id", "score"], zip(*found, strict=True), strict=True)})
 
     return run
@@ -211,8 +219,11 @@ def scored(vectors: DataFrame, is_query, k: int, scale: float, id_col: str, vect
     part_of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
     queries = asked.withColumn("block", part_of("key")).groupBy("block").applyInPandas(_pack(width), packed).withColumnRenamed("block", "part")
     queries = scratch.table(queries.withColumn("floors", F.lit(None).cast("binary")).withColumn("blocks", F.lit(0)), "queries", "none")
+    # Spark may cut finer than asked: parts that follow one another make a block
+    cut = candidates.agg(F.max("block")).first()[0] + 1
+    candidates = candidates.withColumn("block", F.expr(f"cast(cast(block as long) * {min(cut, max(1, -(-n // block)))} div {cut} as int)"))
     # two numbers for each block, in the order of their lengths
-    lengths = [(r["block"], r["longest"]) for r in candidates.select("block", "longest").orderBy("block").collect()]
+    lengths = [(r["block"], r["longest"]) for r in candidates.groupBy("block").agg(F.max("longest").alias("longest")).orderBy("block").collect()]
     head = lengths[0][0]
 
     def meet(q, c):
