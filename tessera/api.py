@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 import weakref
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,8 @@ from .sources import log as logs
 from .streaming import watch as watching
 
 FLUSH_ROWS = 50_000
+#: Keys whose values ``DB.get`` keeps.
+CACHED = 10_000
 
 
 @dataclass
@@ -60,6 +63,7 @@ class DB:
         self._edges: list[tuple[str, str, str]] = []
         self._vectors: dict[str, tuple[list[float], int]] = {}
         self._closed = False
+        self._cache: OrderedDict[str, str | None] = OrderedDict()
         self._log_path = f"{self.path}/log"
         self._open_bases: weakref.WeakSet = weakref.WeakSet()
         base = self._newest("base")
@@ -137,12 +141,15 @@ class DB:
         for key, value, op in rows:
             self._seq += 1
             self._pending.append((namespace, key, value, op, self._seq))
+            if not namespace and key in self._cache:
+                self._cache[key] = value if op == "put" else None
         if len(self._pending) >= FLUSH_ROWS:
             self.flush()
 
     def _write_table(self, rows: DataFrame, namespace: str = "") -> int:
         """Appends a table (key, value, op) of any size to the log; of rows with one key the last wins. Returns the number of rows."""
         self.flush()
+        self._cache.clear()
         before = self._seq
         numbered = rows.select("key", "value", "op", (F.monotonically_increasing_id() + F.lit(before + 1)).alias("seq"))
         logs.append(numbered.select(F.lit(namespace).alias("namespace"), "key", "value", "op", "seq"), self._log_path)
@@ -184,8 +191,31 @@ class DB:
         self._write_table(table.select("key", "value", F.lit("put").alias("op")))
 
     def get(self, key: str) -> str | None:
+        """The value, or None. Values of recent keys are kept; a database has one writer, which keeps them right."""
+        if key in self._cache:
+            self._cache.move_to_end(key)
+            return self._cache[key]
         row = state.get(self.state(), key).first()
-        return row["value"] if row else None
+        self._cache[key] = row["value"] if row else None
+        if len(self._cache) > CACHED:
+            self._cache.popitem(last=False)
+        return self._cache[key]
+
+    def get_profiled(self, key: str) -> tuple[str | None, dict[str, float]]:
+        """The value, and seconds of making the plan and of running it, without the kept values."""
+        began = time.perf_counter()
+        rows = state.get(self.state(), key)
+        planned = time.perf_counter()
+        row = rows.first()
+        return (row["value"] if row else None), {"plan": planned - began, "run": time.perf_counter() - planned}
+
+    def put_profiled(self, key: str, value: str) -> dict[str, float]:
+        """Writes through to the log: seconds of the buffer, and of the log with its postings."""
+        began = time.perf_counter()
+        self.put(key, value)
+        buffered = time.perf_counter()
+        self.flush()
+        return {"buffer": buffered - began, "log": time.perf_counter() - buffered}
 
     def get_many(self, keys: list[str]) -> list[str]:
         wanted = self.spark.createDataFrame(list(enumerate(keys)), "pos long, key string")

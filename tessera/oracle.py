@@ -136,6 +136,14 @@ SQL: dict[str, str] = {
     "fuzzy_candidates": f"select key, round(jaccard, 6) as jaccard from {candidates('blueAnvl')}",
     "fuzzy_search": f"select * from {fuzzy('blueAnvl', 5)}",
     "fuzzy_search_maxdist": f"select * from {fuzzy('bleuWidget', 5, 2)}",
+    "fuzzy_search_batch": f"""with s as (select distinct key, {norm('key')} as norm from (select key from {SYMBOLS} union all select lower(replace(replace(n_name, 'A', ''), 'E', '')) from nation)), g as (select key, norm, {grams('norm')} as g from s),
+        q as (select n_nationkey::bigint as qid, n_name as text, {norm('n_name')} as asked, {grams(norm('n_name'))} as m from nation),
+        h as (select qid, text, asked, key, norm, len(list_intersect(g, m)) as hits, len(g) as n, len(m) as k from g, q),
+        c as (select *, hits / (n + k - hits)::double as jaccard from h where hits > 0),
+        p as (select *, row_number() over (partition by qid order by jaccard desc, key) as place from c),
+        d as (select *, levenshtein(asked, norm) as distance from p where place <= 200),
+        r as (select *, row_number() over (partition by qid order by distance, key = text desc, jaccard desc, key) - 1 as rank from d where distance <= 4)
+        select qid, key, distance, round(jaccard, 6) as jaccard, rank from r where rank < 5""",
     "fuzzy_search_docs": f"select key, value, jaccard as score, rank from {fuzzy('blueAnvl', 5)} join {SYMBOLS} using (key)",
     "vector_normalize": f"select key, len(v)::bigint as dim, round(sqrt(list_dot_product(v, v)), 6) as norm, round(v[1], 6) as first from {UNIT}",
     "vector_knn": f"select key, distance, rank from {KNN.format(1, 10)}",

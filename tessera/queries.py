@@ -111,6 +111,13 @@ def fuzzy_search_maxdist(spark, d):
     return fuzzy.search(T.symbols(spark, d), "bleuWidget", 5, 2)
 
 
+@query
+def fuzzy_search_batch(spark, d):
+    asked = T.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), F.col("n_name").alias("text"))
+    words = T.symbols(spark, d).select("key").unionByName(T.table(spark, d, "nation").select(F.lower(F.translate("n_name", "AE", "")).alias("key")))
+    return fuzzy.search_table(words, asked, 5)
+
+
 @query
 def fuzzy_search_docs(spark, d):
     return fuzzy.search_documents(T.symbols(spark, d), SYMBOL, 5)

@@ -80,6 +80,24 @@ def test_fuzzy(spark, typo, want):
         assert found[0].distance == 0
 
 
+def test_fuzzy_table(spark):
+    symbols = records(spark, [(s, "v") for s in SYMBOLS])
+    asked = ["AuthServce", "getUsrById", "HASHPASSWORD", "zzzzqqqq", "", None, "verfyToken"]
+    found = fuzzy.search_table(symbols, frame(spark, list(enumerate(asked)), "qid long, text string"), 3).collect()
+    want = [(i, *r) for i, q in enumerate(asked) if q for r in fuzzy.search(symbols, q, 3).select("key", "distance", "jaccard", "rank").collect()]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_reads_that_are_kept(spark, tmp_path):
+    db = DB(spark, f"file://{tmp_path}/db")
+    db.put("a", "1")
+    assert db.get("a") == "1" and db.get("b") is None
+    db.put("b", "2")
+    db.delete("a")
+    assert (db.get("a"), db.get("b")) == (None, "2") == (db.get_profiled("a")[0], db.get_profiled("b")[0])
+    assert set(db.put_profiled("a", "3")) == {"buffer", "log"} and db.get("a") == "3" and db.delete_range("a", "b") == 1 and db.get("a") is None
+
+
 def test_fuzzy_bounds(spark):
     docs = records(spark, [(s, s.lower()) for s in SYMBOLS])
     assert fuzzy.search(docs, "zzzzqqqq", 5, 2).collect() == [] and fuzzy.search(docs, "", 5).collect() == []
