@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 
+#: Steps of a walk whose finds are read one by one; then they are written together, so that plans stay short.
+LEVELS = 16
 RELATIONS = ["imports", "calls", "inherits", "tests", "defines"]
 
 
@@ -47,6 +49,8 @@ def bfs(edges: DataFrame, start: str, direction: str = "forward", max_depth: int
         if not frontier.take(1):
             break
         found = found.unionByName(frontier)
+        if depth % LEVELS == 0:
+            found = scratch.table(found, f"found-{depth}")
     return found
 
 

@@ -140,6 +140,12 @@ def test_graph(spark):
     assert order[0] == ("a", 0) and {k for k, _ in order} == set(depth)
 
 
+def test_graph_of_a_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEVELS", 3)
+    e = frame(spark, [(f"n{i}", f"n{i + 1}", "calls") for i in range(11)], "src string, dst string, relation string")
+    assert {r.key: r.depth for r in graph.bfs(e, "n0", max_depth=50).collect()} == {f"n{i}": i for i in range(12)}
+
+
 def test_graph_random(spark):
     rng = random.Random(3)
     pairs = [(str(rng.randrange(60)), str(rng.randrange(60))) for _ in range(90)]
