@@ -28,7 +28,7 @@ from ..sources.scratch import Scratch, shuffle_partitions
 PACK = 2048
 RANGE = 1 << 20
 #: Sets, and n-grams of them, in one block of a product.
-BLOCK = 2048
+BLOCK = 512
 BLOCK_GRAMS = 1 << 19
 
 
