@@ -30,11 +30,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes repeated runs of lines from texts; n_chars follows the text. No row goes. Null texts stay null."""
+    """Deletes repeated runs of lines from texts; n_chars follows the text. A document of which nothing is left goes:
+    all its lines stand in others, or earlier in itself. Null and empty texts stay as they are."""
     names, deleted = docs.columns, "deleted"
     while deleted in names:
         deleted += "_"
-    kept = line_dedup.dedup_lines(docs, count_col=deleted)
+    kept = line_dedup.dedup_lines(docs, count_col=deleted).where((F.col(deleted) == 0) | F.col("text").isNull() | (F.col("text") != ""))
     length = F.when(F.col(deleted) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.select(*[(length if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in names])
 
