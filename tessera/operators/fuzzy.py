@@ -46,8 +46,8 @@ def search_table(symbols: DataFrame, queries: DataFrame, k: int = 5, max_distanc
     near = scored.withColumn("place", F.row_number().over(likely)).where(F.col("place") <= max(k, 50) * 4)
     near = near.withColumn("distance", F.levenshtein(normalise_symbol(F.col("text")), normalise_symbol(F.col("key")), max_distance)).where("distance >= 0")
     order = Window.partitionBy("qid").orderBy("distance", (F.col("key") == F.col("text")).desc(), F.col("jaccard").desc(), "key")
-    ranked = near.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
-    return ranked.select("qid", "key", F.col("distance").cast("long").alias("distance"), F.round("jaccard", 6).alias("jaccard"), "rank")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("qid", "key", F.col("distance").cast("long").alias("distance"), F.round("jaccard", 6).alias("jaccard"), (F.col("rank") - 1).cast("long").alias("rank"))
 
 
 def search_documents(docs: DataFrame, query: str, k: int = 5, max_distance: int = MAX_DISTANCE) -> DataFrame:

@@ -123,11 +123,14 @@ def bm25_batch(post: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1,
     """qid, key, score, rank for a table of queries (qid, text) over stored postings: one equi-join on the term
     with the queries' weights, so the cost follows the postings of the asked terms and a frequent one can be split."""
     asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = Scratch(post.sparkSession, "bm25-batch").table(asked, "asked")
+    scratch = Scratch(post.sparkSession, "bm25-batch")
+    asked = scratch.table(asked, "asked")
     df = post.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "term").join(F.broadcast(_corpus(post)))  # one row
     weights = weights.select("qid", "term", "avgdl", (F.col("times") * _idf(F.col("n"), F.col("df"))).alias("weight"))
+    weights = scratch.table(weights, "weights")  # so that its size, and not that of its plan, decides the join
     part = F.col("weight") * _saturated(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     totals = post.join(weights, "term").groupBy("qid", "key").agg(F.round(F.sum(part), 6).alias("score"))
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "key")
-    return totals.withColumn("rank", (F.row_number().over(best) - 1).cast("long")).where(F.col("rank") < k)
+    ranked = totals.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumn("rank", (F.col("rank") - 1).cast("long"))

@@ -66,7 +66,8 @@ def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int
     rows = normalise(vectors.where(F.size("vector") == matrix.shape[1]))
     found = rows.mapInArrow(local, "qid long, key string, distance double")
     best = Window.partitionBy("qid").orderBy("distance", "key")
-    return found.withColumn("rank", (F.row_number().over(best) - 1).cast("long")).where(F.col("rank") < k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumn("rank", (F.col("rank") - 1).cast("long"))
 
 
 def train_cells(vectors: DataFrame, cells: int = 16, sample: int = 10_000, rounds: int = 10, seed: int = 1) -> np.ndarray:
@@ -149,7 +150,8 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     met = dealt["block"].join(dealt["part"], "cell").groupBy("cell", "block", "part").applyInPandas(meet, "qid long, key string, distance double")
     best = Window.partitionBy("qid").orderBy("distance", "key")
-    return met.withColumn("rank", (F.row_number().over(best) - 1).cast("long")).where(F.col("rank") < k)
+    ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumn("rank", (F.col("rank") - 1).cast("long"))
 
 
 def knn_table(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
