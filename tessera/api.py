@@ -7,6 +7,7 @@ read is a DataFrame plan collected at the end, so batch reads (``get_many``, ``s
 from __future__ import annotations
 
 import json
+import threading
 import time
 import weakref
 from collections import OrderedDict
@@ -127,11 +128,13 @@ class DB:
 
     def postings(self, namespace: str = "") -> DataFrame:
         """Postings of what is there: those stored and those of the buffer."""
-        new = self.spark.createDataFrame([r for r in self._pending if r[0] == namespace and r[3] == "put"], logs.SCHEMA)
-        found = keyword.index(new, "seq")
+        new = [r for r in self._pending if r[0] == namespace and r[3] == "put"]
+        found = None
         if self._exists(self._postings_path):
-            old = self.spark.read.parquet(self._postings_path).where(F.col("namespace") == namespace)
-            found = found.unionByName(old.select(*found.columns))
+            found = self.spark.read.parquet(self._postings_path).where(F.col("namespace") == namespace).drop("namespace")
+        if new or found is None:
+            fresh = keyword.index(self.spark.createDataFrame(new, logs.SCHEMA), "seq")
+            found = fresh if found is None else found.unionByName(fresh)
         return found.join(state.heads(self.log(namespace)), ["key", "seq"], "left_semi")
 
     def _index(self, records: DataFrame) -> None:
@@ -292,7 +295,25 @@ class DB:
         return planner.Indexes(self.state(), self.vectors(), self.edges(), self.postings())
 
     def query(self, spec: planner.QuerySpec) -> list[Document]:
-        return _documents(planner.search_documents(self._indexes(), spec))
+        """The documents of a query. With a timeout its jobs are cancelled after so many seconds."""
+        if spec.timeout is None:
+            return _documents(planner.search_documents(self._indexes(), spec))
+        context, group, late = self.spark.sparkContext, f"search-{time.time_ns()}", threading.Event()
+        timer = threading.Timer(spec.timeout, lambda: (late.set(), context._jsc.sc().cancelJobGroupAndFutureJobs(group)))
+        context.setJobGroup(group, "search", True)
+        timer.start()
+        try:
+            found = _documents(planner.search_documents(self._indexes(), spec))
+        except Exception as e:
+            if not late.is_set():
+                raise
+            raise TimeoutError(f"the search took more than {spec.timeout} s") from e
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+        if late.is_set():
+            raise TimeoutError(f"the search took more than {spec.timeout} s")
+        return found
 
     def search(self, text: str, limit: int = 10) -> list[Document]:
         return self.query(planner.QuerySpec(text=text, top_k=limit))
@@ -414,6 +435,10 @@ class DB:
         """Delivers records whose key starts with ``pattern`` as they are flushed."""
         return watching.start(self.spark, self._log_path, watching.Watch(pattern, credit=credit), deliver, checkpoint, once)
 
+    def watches(self) -> watching.Registry:
+        """A registry of watches over all records, buffered ones too, that are read on demand."""
+        return watching.Registry(self.all_records)
+
     def stats(self) -> dict:
         row = state.statistics(self.log()).first()
         return {"records": row["records"] or 0, "tombstones": row["tombstones"] or 0, "bytes": row["bytes"] or 0, "snapshots": len(self._refs), "graph_edges": self.edges().count(), "index_vectors": self.vectors().count()}

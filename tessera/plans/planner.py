@@ -25,6 +25,10 @@ class QuerySpec:
     relations: list[str] = field(default_factory=list)
     top_k: int = 10
     max_depth: int = 3
+    #: SQL patterns of keys; only keys that fit one of them are searched. None: all keys.
+    key_like: list[str] | None = None
+    #: Seconds that a search of a database may take.
+    timeout: float | None = None
 
 
 def plan(spec: QuerySpec) -> list[str]:
@@ -73,8 +77,13 @@ class Indexes:
 
 
 def search(indexes: Indexes, spec: QuerySpec) -> DataFrame:
-    """key, score, rank of the fused lists, each fetched to twice the wanted length."""
+    """key, score, rank of the fused lists, each fetched to twice the wanted length. Keys are filtered before any
+    list is cut, and the keyword numbers are those of the keys that are left."""
     n, lists = 2 * spec.top_k, []
+    fits = F.lit(True) if spec.key_like is None else reduce(lambda a, b: a | b, [F.col("key").like(p) for p in spec.key_like], F.lit(False))
+    if spec.key_like is not None:
+        some = lambda df: df if df is None else df.where(fits)
+        indexes = Indexes(indexes.docs.where(fits), some(indexes.vectors), indexes.edges, some(indexes.postings))
     for step in plan(spec):
         if step == "keyword":
             lists.append(keyword.bm25(indexes.docs, spec.text, n) if indexes.postings is None else keyword.search(indexes.postings, spec.text, n))
@@ -84,7 +93,7 @@ def search(indexes: Indexes, spec: QuerySpec) -> DataFrame:
             lists.append(vector.search(indexes.vectors, spec.vector, n))
         elif step == "graph" and indexes.edges is not None and spec.text:
             walk = graph.bfs(indexes.edges, spec.text, "forward", spec.max_depth, spec.relations[0])
-            near = walk.where("depth > 0").select("key", (1 / (1 + F.col("depth"))).alias("score"))
+            near = walk.where("depth > 0").where(fits).select("key", (1 / (1 + F.col("depth"))).alias("score"))
             lists.append(rank_hits(near, n))
     if not lists:
         return indexes.docs.limit(0).select("key", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))

@@ -30,6 +30,49 @@ def replay(log: DataFrame, watch: Watch, after: int = 0) -> DataFrame:
     return rows.offset(after) if after else rows
 
 
+#: Credit does not grow beyond this.
+MOST_CREDIT = (1 << 63) - 1
+
+
+class Registry:
+    """Watches that are read on demand: each has a place in the log and a credit of rows. What exceeds the credit
+    waits in the log until more is added."""
+
+    def __init__(self, log: Callable[[], DataFrame]):
+        self._log, self._next = log, 1
+        self._held: dict[int, tuple[Watch, int]] = {}
+
+    def watch(self, pattern: str = "", namespace: str | None = None, credit: int = 0, after: int = 0) -> int:
+        """The number of a new watch on records after the seq ``after``."""
+        number, self._next = self._next, self._next + 1
+        self._held[number] = Watch(pattern, namespace, credit), after
+        return number
+
+    def _of(self, number: int) -> tuple[Watch, int]:
+        if number not in self._held:
+            raise KeyError(f"no watch {number}")
+        return self._held[number]
+
+    def unwatch(self, number: int) -> None:
+        self._of(number)
+        del self._held[number]
+
+    def add_credit(self, number: int, rows: int) -> int:
+        """Adds to the credit and returns it."""
+        w, _ = self._of(number)
+        w.credit = min(MOST_CREDIT, w.credit + rows)
+        return w.credit
+
+    def take(self, number: int) -> list:
+        """The next matching records by seq, as many as the credit, which they use up."""
+        w, after = self._of(number)
+        rows = w.matches(self._log()).where(F.col("seq") > after).orderBy("seq").limit(min(w.credit, (1 << 31) - 1)).collect()
+        if rows:
+            w.credit -= len(rows)
+            self._held[number] = w, rows[-1]["seq"]
+        return rows
+
+
 def deliveries(df: DataFrame, credit: int | None):
     """``df`` in parts of up to ``credit`` rows by seq; together they are all of it."""
     if credit is None:

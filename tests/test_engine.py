@@ -392,6 +392,36 @@ def test_agent_store(spark, tmp_path):
         store.load_payload("s1")
 
 
+def test_watches_wait_for_credit(spark, tmp_path):
+    db = DB(spark, f"file://{tmp_path}/db")
+    db.load([(f"user/{i % 2}", str(i)) for i in range(10)])
+    watches = db.watches()
+    one = watches.watch("user/1", credit=2)
+    taken = lambda n: [r.value for r in watches.take(n)]
+    assert taken(one) == ["1", "3"] and taken(one) == [] and watches.add_credit(one, 2) == 2
+    db.flush()
+    db.put("user/1", "last")
+    assert taken(one) == ["5", "7"] and watches.add_credit(one, watch.MOST_CREDIT) == watch.MOST_CREDIT == watches.add_credit(one, 9)
+    assert taken(one) == ["9", "last"] and taken(watches.watch("user/0", "", 3, after=5)) == ["6", "8"]
+    watches.unwatch(one)
+    for call in (watches.take, watches.unwatch, lambda n: watches.add_credit(n, 1)):
+        with pytest.raises(KeyError):
+            call(one)
+
+
+def test_searches_of_some_keys_and_of_limited_time(spark, tmp_path):
+    db = DB(spark, f"file://{tmp_path}/db")
+    db.load({"src/a.py": "token one", "src/b.rs": "token two", "doc/c.md": "token"})
+    ids = lambda **more: sorted(d.id for d in db.query(planner.QuerySpec(text="token", **more)))
+    assert ids() == ["doc/c.md", "src/a.py", "src/b.rs"] and ids(key_like=["src/%"]) == ["src/a.py", "src/b.rs"] and ids(key_like=["%.py", "doc/%"]) == ["doc/c.md", "src/a.py"]
+    assert ids(key_like=[]) == [] and ids(timeout=100.0) == ids()
+    db.flush()
+    assert ids(key_like=["src/%"], timeout=100.0) == ["src/a.py", "src/b.rs"]
+    with pytest.raises(TimeoutError):
+        db.query(planner.QuerySpec(text="token", timeout=0.001))
+    assert ids() == ["doc/c.md", "src/a.py", "src/b.rs"]
+
+
 def test_database_keeps_what_is_read(spark, tmp_path):
     path = f"file://{tmp_path}/db"
     db = DB(spark, path)
