@@ -47,6 +47,13 @@ def positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(hashes)]
 
 
+def literal_rules(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """A short list as a table, without a Python worker; a long one should come as a table."""
+    rows = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
+    kind = "array<struct<verdict:string,host:string,path:string>>"
+    return spark.range(1).select(F.explode(rows.cast(kind)).alias("rule")).select("rule.*")
+
+
 class TooLarge(ValueError):
     """A cascade would exceed ``MAX_BITS``."""
 
@@ -141,7 +148,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     spark = pages.sparkSession
     scratch = Scratch(spark, "url-filter")
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame(rules, "verdict string, host string, path string")
+        rules = literal_rules(spark, rules)
     rules = rules.select("verdict", F.concat("host", F.lit("\x00"), "path").alias("key"), F.char_length("path").alias("length")).where("key is not null")
     rules = scratch.table(rules, "rules")
     judged = pages.select(pages[id_col].alias("page_id"), url_host(pages[url_col]).alias("host"), url_path(pages[url_col]).alias("path"))
