@@ -122,6 +122,35 @@ def test_jaccard_family_in_tiers_of_size(spark, monkeypatch):
     same(found, brute_components([(i, shingle_set(t)) for i, t in rows]))
 
 
+def test_jaccard_blocks_meet_where_sizes_allow(spark, monkeypatch):
+    from tessera.sources.scratch import Scratch
+
+    def dealt(n, grams):
+        sizes = F.greatest(F.lit(20), F.pmod(F.xxhash64("id"), F.lit(2000))).cast("long")
+        placed = spark.range(n).select(F.lit(7).cast("long").alias("family"), F.col("id").alias("node"), sizes.alias("size"), F.lit(1).cast("long").alias("copies"))
+        ended = jaccard_join._with_ends(placed, jaccard_join.Bounds(75), Scratch(spark, "test"))
+        return ended, jaccard_join._dealt(ended.withColumn("grams", F.lit(b"")))
+
+    # one family of 20,000 sets: rows shipped against what a meeting of all blocks would ship
+    _, rows = dealt(20_000, None)
+    grams = 20_000 * 1000
+    assert rows.count() < 0.55 * 20_000 * grams / jaccard_join.BLOCK_GRAMS
+    monkeypatch.setattr(jaccard_join, "BLOCK", 9)
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 4000)
+    ended, rows = dealt(300, None)
+    size = {r.node: r["size"] for r in ended.select("node", "size").collect()}
+    tasks = defaultdict(lambda: ([], []))
+    for r in rows.select("task", "side", "alone", "node").collect():
+        tasks[tuple(r.task)][r.side].append(r.node)
+    met = Counter()
+    for left, right in tasks.values():
+        for i, a in enumerate(left):
+            for b in right or left[i + 1 :]:
+                met[frozenset((a, b))] += 1
+    assert all(n == 1 for n in met.values())
+    assert all(frozenset((a, b)) in met for a in size for b in size if a < b and 100 * min(size[a], size[b]) >= 75 * max(size[a], size[b]))
+
+
 def test_jaccard_product():
     import numpy as np
 
