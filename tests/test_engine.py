@@ -526,6 +526,32 @@ def test_session_records_of_one_step_keep_their_order(spark):
     assert sorted(x.content for x in sessions.recent(r, 2).collect()) == ["c4", "c5"]
 
 
+def test_entry_without_the_training_data_package(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+    from tessera import oracle, queries
+
+    monkeypatch.setitem(sys.modules, "tessera.llm.queries", None)  # importing it fails
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry.queries()) == set(queries.found) and set(entry.oracle_sql()) == set(oracle.SQL)
+
+
+def test_scratch_tables_are_swept(spark, tmp_path, monkeypatch):
+    from tessera.sources import scratch
+
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    held = scratch.Scratch(spark, "one")
+    assert held.table(spark.range(3), "a").count() == 3 and any(tmp_path.rglob("*.parquet"))
+    held.drop("a")
+    held.table(spark.range(3), "b")
+    scratch.sweep(spark)
+    assert not any(tmp_path.rglob("*.parquet"))
+    file = f"file://{tmp_path}/one-file"
+    spark.range(100).coalesce(1).write.parquet(file)
+    assert scratch.spread(spark.read.parquet(file)).count() == 100 and scratch.spread(spark.range(5)).count() == 5
+
+
 def test_every_query_has_sql():
     import __spark_entry__ as entry
     from tessera import queries
