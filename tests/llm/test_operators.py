@@ -141,11 +141,11 @@ def test_jaccard_blocks_meet_where_sizes_allow(spark, monkeypatch):
     size = {r.node: r["size"] for r in ended.select("node", "size").collect()}
     tasks = defaultdict(lambda: ([], []))
     for r in rows.select("task", "side", "alone", "node").collect():
-        tasks[tuple(r.task)][r.side].append(r.node)
+        tasks[(*r.task, r.alone)][r.side].append(r.node)
     met = Counter()
-    for left, right in tasks.values():
+    for task, (left, right) in tasks.items():
         for i, a in enumerate(left):
-            for b in right or left[i + 1 :]:
+            for b in left[i + 1 :] if task[-1] else right:
                 met[frozenset((a, b))] += 1
     assert all(n == 1 for n in met.values())
     assert all(frozenset((a, b)) in met for a in size for b in size if a < b and 100 * min(size[a], size[b]) >= 75 * max(size[a], size[b]))
