@@ -64,7 +64,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, the identifiers of the text's pieces and their number, and whether they decode to the text."""
+    """doc_id, source, lang, the identifiers of the text's pieces and their number, and whether they decode to the text.
+    A null text has null identifiers, an empty one none; both count 0 and come back. Repeated rows stay; other columns go."""
     model = sentencepiece_viterbi.Model.read(queries.piece_model_path())
     pieces = docs.select("doc_id", "source", "lang", "text", sentencepiece_viterbi.encode_and_decode(F.col("text"), model).alias("p"))
     pieces = pieces.select("doc_id", "source", "lang", "text", F.col("p.ids").alias("piece_ids"), F.col("p.decoded").alias("decoded"))

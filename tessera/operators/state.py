@@ -69,7 +69,7 @@ def compact_history(log: DataFrame, kept: list[int], drop_tombstones: bool = Tru
     """What a log (with ``namespace``) must keep so that its state now and at each seq of ``kept`` stays as it is:
     of each key the last record up to each of them and the last of all. A tombstone that hides no kept record goes."""
     bounds = sorted(set(kept))
-    era = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("seq"))) if bounds else F.lit(0)
+    era = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("seq"))) if bounds else F.lit(0)
     last = F.max_by(F.struct("value", "op"), F.col("seq"))
     rows = log.groupBy("namespace", "key", era.alias("era")).agg(last.alias("r"), F.max("seq").alias("seq")).select("namespace", "key", "r.value", "r.op", "seq")
     if not drop_tombstones:
