@@ -101,7 +101,9 @@ def search(indexes: Indexes, spec: QuerySpec) -> DataFrame:
 
 
 def search_documents(indexes: Indexes, spec: QuerySpec) -> DataFrame:
-    """Hits with their values; a hit without a record has an empty value."""
-    hits = F.broadcast(search(indexes, spec))  # top_k rows
-    values = indexes.docs.join(hits.select("key"), "key", "left_semi").select("key", "value")
+    """Hits with their values; a hit without a record has an empty value. The ``top_k`` hits are found first, so
+    that their keys are a filter that reaches the scan of the values."""
+    found = search(indexes, spec).select("key", "score", "rank").collect()
+    hits = F.broadcast(indexes.docs.sparkSession.createDataFrame(found, "key string, score double, rank long"))  # top_k rows
+    values = indexes.docs.where(F.col("key").isin([r["key"] for r in found])).select("key", "value")
     return hits.join(values, "key", "left").select("key", F.coalesce("value", F.lit("")).alias("value"), "score", "rank")
